@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scarpline.llm.components import match_groups
+from scarpline.llm.encode import token_ids
+from scarpline.llm.garbled import garbled
 from scarpline.llm.names import near_name_groups, near_names
 from scarpline.llm.overlap import cross_split_pairs, overlap_report
+from scarpline.llm.packing import pack_texts
 from scarpline.llm.splits import keep_together
 
 
@@ -23,6 +26,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": lambda s, d: near_names(_table(s, d, "rebuild_nepal_split")),
     "p4_groups": lambda s, d: near_name_groups(_table(s, d, "rebuild_nepal_split")),
     "p5_splits": lambda s, d: keep_together(_table(s, d, "rebuild_nepal_split"), _table(s, d, "dup_groups")),
+    "p6_ids": lambda s, d: token_ids(_table(s, d, "documents")),
+    "p7_containers": lambda s, d: pack_texts(_table(s, d, "documents")),
+    "p8_found": lambda s, d: garbled(_table(s, d, "documents")).select("doc_id"),
+    "p8_restored": lambda s, d: garbled(_table(s, d, "documents")),
 }
 
 _WORDS = """
