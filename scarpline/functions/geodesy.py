@@ -24,38 +24,70 @@ def equirect_km(lat: Column | str, lon: Column | str, lat2: Column | str, lon2:
     return F.hypot(_col(lat2) - a, (_col(lon2) - b) * F.cos(F.radians(a))) * C.KM_PER_DEG
 
 
+def _let(body, **named: Column) -> Column:
+    """body of a struct of named values, each evaluated once."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in named.items()])), body)[0]
+
+
 def geodesic_m(lat1: Column | str, lon1: Column | str, lat2: Column | str, lon2: Column | str, rounds: int = 20) -> Column:
     """Metres on the ellipsoid by Vincenty's inverse formula, a fixed number of rounds; for antipodes it may stay inexact."""
     p1, l1, p2, l2 = (F.radians(_col(c)) for c in (lat1, lon1, lat2, lon2))
     f, b = FLATTENING, AXIS * (1 - FLATTENING)
-    u1, u2 = F.atan((1 - f) * F.tan(p1)), F.atan((1 - f) * F.tan(p2))
-    base = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), (l2 - l1).alias("L"))
-
-    def step(s: Column) -> Column:
-        lam, k = s["lam"], s["k"]
-        sl, cl = F.sin(lam), F.cos(lam)
-        ss = F.hypot(k["c2"] * sl, k["c1"] * k["s2"] - k["s1"] * k["c2"] * cl)
-        cs = k["s1"] * k["s2"] + k["c1"] * k["c2"] * cl
-        sa = F.when(ss == 0, 0.0).otherwise(k["c1"] * k["c2"] * sl / F.when(ss == 0, 1.0).otherwise(ss))
-        ca2 = 1 - sa * sa
-        cm = F.when(ca2 == 0, 0.0).otherwise(cs - 2 * k["s1"] * k["s2"] / F.when(ca2 == 0, 1.0).otherwise(ca2))
-        sig = F.atan2(ss, cs)
-        c = f / 16 * ca2 * (4 + f * (4 - 3 * ca2))
-        new = k["L"] + (1 - c) * f * sa * (sig + c * ss * (cm + c * cs * (-1 + 2 * cm * cm)))
-        return F.struct(new.alias("lam"), ss.alias("ss"), cs.alias("cs"), ca2.alias("ca2"), cm.alias("cm"), sig.alias("sig"), k.alias("k"))
-
-    zero = F.lit(0.0)
-    start = F.struct((l2 - l1).alias("lam"), zero.alias("ss"), zero.alias("cs"), zero.alias("ca2"), zero.alias("cm"), zero.alias("sig"), base.alias("k"))
-
-    def metres(s: Column) -> Column:
-        u = s["ca2"] * ((AXIS * AXIS - b * b) / (b * b))
-        big = 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u)))
-        small = u / 1024 * (256 + u * (-128 + u * (74 - 47 * u)))
-        cm2 = s["cm"] * s["cm"]
-        d = small * s["ss"] * (s["cm"] + small / 4 * (s["cs"] * (-1 + 2 * cm2) - small / 6 * s["cm"] * (-3 + 4 * s["ss"] * s["ss"]) * (-3 + 4 * cm2)))
-        return b * big * (s["sig"] - d)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, lambda s, _: step(s), metres)
+    safe = lambda x: F.when(x == 0, 1.0).otherwise(x)
+
+    def sides(k: Column, lam: Column, body) -> Column:
+        return _let(
+            lambda q: _let(
+                body,
+                ss=F.hypot(k["c2"] * q["sl"], k["c1"] * k["s2"] - k["s1"] * k["c2"] * q["cl"]), cs=k["s1"] * k["s2"] + k["c1"] * k["c2"] * q["cl"], sl=q["sl"],
+            ),
+            sl=F.sin(lam), cl=F.cos(lam),
+        )
+
+    def bent(k: Column, q: Column, body) -> Column:
+        """body of sa, ca2, cm, sig for a triangle of ss, cs, sl."""
+        return _let(
+            lambda v: _let(body, sa=v["sa"], ca2=v["ca2"], cm=F.when(v["ca2"] == 0, 0.0).otherwise(q["cs"] - 2 * k["s1"] * k["s2"] / safe(v["ca2"])), sig=F.atan2(q["ss"], q["cs"])),
+            sa=F.when(q["ss"] == 0, 0.0).otherwise(k["c1"] * k["c2"] * q["sl"] / safe(q["ss"])), ca2=1 - F.when(q["ss"] == 0, 0.0).otherwise(F.pow(k["c1"] * k["c2"] * q["sl"] / safe(q["ss"]), F.lit(2.0))),
+        )
+
+    def step(k: Column, lam: Column) -> Column:
+        def new(q: Column) -> Column:
+            def lam2(v: Column) -> Column:
+                return _let(
+                    lambda z: k["L"] + (1 - z["c"]) * f * v["sa"] * (v["sig"] + z["c"] * q["ss"] * (v["cm"] + z["c"] * q["cs"] * (-1 + 2 * v["cm"] * v["cm"]))),
+                    c=f / 16 * v["ca2"] * (4 + f * (4 - 3 * v["ca2"])),
+                )
+
+            return bent(k, q, lam2)
+
+        return sides(k, lam, new)
+
+    def metres(k: Column, lam: Column) -> Column:
+        def on(q: Column) -> Column:
+            def length(v: Column) -> Column:
+                def total(z: Column) -> Column:
+                    d = z["B"] * q["ss"] * (v["cm"] + z["B"] / 4 * (q["cs"] * (-1 + 2 * z["cm2"]) - z["B"] / 6 * v["cm"] * (-3 + 4 * q["ss"] * q["ss"]) * (-3 + 4 * z["cm2"])))
+                    return b * z["A"] * (v["sig"] - d)
+
+                return _let(
+                    lambda w: _let(total, A=1 + w["u"] / 16384 * (4096 + w["u"] * (-768 + w["u"] * (320 - 175 * w["u"]))), B=w["u"] / 1024 * (256 + w["u"] * (-128 + w["u"] * (74 - 47 * w["u"]))), cm2=v["cm"] * v["cm"]),
+                    u=v["ca2"] * ((AXIS * AXIS - b * b) / (b * b)),
+                )
+
+            return bent(k, q, length)
+
+        return sides(k, lam, on)
+
+    def between(v: Column) -> Column:
+        """Equal points have no direction and no distance."""
+        apart = _let(
+            lambda k: metres(k, F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), k["L"], lambda lam, _: step(k, lam))),
+            s1=F.sin(v["u1"]), c1=F.cos(v["u1"]), s2=F.sin(v["u2"]), c2=F.cos(v["u2"]), L=v["L"],
+        )
+        return F.when((v["u1"] == v["u2"]) & (v["L"] == 0), 0.0).otherwise(apart)
+
+    return _let(between, u1=F.atan((1 - f) * F.tan(p1)), u2=F.atan((1 - f) * F.tan(p2)), L=l2 - l1)
 
 
 # Krueger series in the third flattening, order 6 (Karney 2011)
@@ -88,35 +120,56 @@ def utm_zone(crs: Column | str) -> Column:
     return F.when(ok, F.struct((zone * 6 - 183).cast("double").alias("meridian"), m.contains(":327").alias("south")))
 
 
+def _series(a: tuple[float, ...], xi: Column, eta: Column) -> tuple[Column, Column]:
+    """The corrections to both coordinates."""
+    terms = [(c, 2.0 * (k + 1)) for k, c in enumerate(a)]
+    return sum(c * F.sin(m * xi) * F.cosh(m * eta) for c, m in terms), sum(c * F.cos(m * xi) * F.sinh(m * eta) for c, m in terms)
+
+
 def to_utm(lat: Column | str, lon: Column | str, crs: Column | str) -> Column:
     """(x, y) in metres in the UTM zone that crs names; NULL for other systems."""
-    zone = utm_zone(crs)
-    phi, lam = F.radians(_col(lat)), F.radians(_col(lon) - zone["meridian"])
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - _ECC * F.atanh(_ECC * s))
-    xi0, eta0 = F.atan2(t, F.cos(lam)), F.asinh(F.sin(lam) / F.sqrt(t * t + F.cos(lam) * F.cos(lam)))
-    xi = xi0 + sum(a * F.sin(2 * (k + 1) * xi0) * F.cosh(2 * (k + 1) * eta0) for k, a in enumerate(_FORWARD))
-    eta = eta0 + sum(a * F.cos(2 * (k + 1) * xi0) * F.sinh(2 * (k + 1) * eta0) for k, a in enumerate(_FORWARD))
-    x = FALSE_EAST + SCALE * _RECTIFYING * eta
-    y = F.when(zone["south"], FALSE_NORTH_SOUTH).otherwise(0.0) + SCALE * _RECTIFYING * xi
-    return F.when(zone.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
+
+    def metres(v: Column) -> Column:
+        more = _series(_FORWARD, v["xi"], v["eta"])
+        x = FALSE_EAST + SCALE * _RECTIFYING * (v["eta"] + more[1])
+        y = F.when(v["south"], FALSE_NORTH_SOUTH).otherwise(0.0) + SCALE * _RECTIFYING * (v["xi"] + more[0])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def plane(v: Column) -> Column:
+        return _let(metres, xi=F.atan2(v["t"], F.cos(v["lam"])), eta=F.asinh(F.sin(v["lam"]) / F.hypot(v["t"], F.cos(v["lam"]))), south=v["south"])
+
+    def conformal(v: Column) -> Column:
+        return _let(plane, t=F.sinh(F.atanh(v["s"]) - _ECC * F.atanh(_ECC * v["s"])), lam=F.radians(v["lon"] - v["zone"]["meridian"]), south=v["zone"]["south"])
+
+    return _let(lambda v: F.when(v["zone"].isNotNull(), conformal(v)), s=F.sin(F.radians(_col(lat))), lon=_col(lon), zone=utm_zone(crs))
 
 
 def from_utm(x: Column | str, y: Column | str, crs: Column | str) -> Column:
     """(lat, lon) of UTM metres; EPSG:4326 passes x, y through as lon, lat; NULL for other systems."""
-    zone, x, y = utm_zone(crs), _col(x), _col(y)
-    xi = (y - F.when(zone["south"], FALSE_NORTH_SOUTH).otherwise(0.0)) / (SCALE * _RECTIFYING)
-    eta = (x - FALSE_EAST) / (SCALE * _RECTIFYING)
-    xi0 = xi - sum(b * F.sin(2 * (k + 1) * xi) * F.cosh(2 * (k + 1) * eta) for k, b in enumerate(_INVERSE))
-    eta0 = eta - sum(b * F.cos(2 * (k + 1) * xi) * F.sinh(2 * (k + 1) * eta) for k, b in enumerate(_INVERSE))
-    chi = F.asin(F.sin(xi0) / F.cosh(eta0))
-    psi = F.asinh(F.tan(chi))
-    s = F.sin(chi)
-    for _ in range(6):
-        s = F.tanh(psi + _ECC * F.atanh(_ECC * s))
-    lat, lon = F.degrees(F.asin(s)), zone["meridian"] + F.degrees(F.atan2(F.sinh(eta0), F.cos(xi0)))
-    plain = F.upper(_col(crs)) == "EPSG:4326"
-    return F.when(plain, F.struct(y.cast("double").alias("lat"), x.cast("double").alias("lon"))).when(zone.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
+
+    def latitude(v: Column) -> Column:
+        s = F.tanh(v["psi"])
+        for _ in range(6):
+            s = F.tanh(v["psi"] + _ECC * F.atanh(_ECC * s))
+        return F.struct(F.degrees(F.asin(s)).alias("lat"), (v["meridian"] + v["lon"]).alias("lon"))
+
+    def sphere(v: Column) -> Column:
+        psi = F.asinh(F.tan(F.asin(F.sin(v["xi"]) / F.cosh(v["eta"]))))
+        return _let(latitude, psi=psi, lon=F.degrees(F.atan2(F.sinh(v["eta"]), F.cos(v["xi"]))), meridian=v["meridian"])
+
+    def plane(v: Column) -> Column:
+        less = _series(_INVERSE, v["xi"], v["eta"])
+        return _let(sphere, xi=v["xi"] - less[0], eta=v["eta"] - less[1], meridian=v["meridian"])
+
+    def scaled(v: Column) -> Column:
+        z = v["zone"]
+        return _let(plane, xi=(v["y"] - F.when(z["south"], FALSE_NORTH_SOUTH).otherwise(0.0)) / (SCALE * _RECTIFYING), eta=(v["x"] - FALSE_EAST) / (SCALE * _RECTIFYING), meridian=z["meridian"])
+
+    def place(v: Column) -> Column:
+        same = F.struct(v["y"].alias("lat"), v["x"].alias("lon"))
+        return F.when(v["plain"], same).when(v["zone"].isNotNull(), scaled(v))
+
+    return _let(place, x=_col(x).cast("double"), y=_col(y).cast("double"), zone=utm_zone(crs), plain=F.upper(_col(crs)) == "EPSG:4326")
 
 
 def pixel_centre(t: Column | str, row: Column | str, col: Column | str) -> Column:
@@ -150,12 +203,14 @@ def cell_size(t: Column | str, height: Column | str) -> Column:
 def ground_resolution(path: Column | str, t: Column | str, width: Column | str, height: Column | str, crs: Column | str, fallback: Column | float) -> Column:
     """(gsd, source): the geodesic diagonal of the image over its diagonal in pixels and geotiff_crs, or (fallback, fallback) for anything that is not a georeferenced TIFF."""
     t, w, h = _col(t), _col(width).cast("double"), _col(height).cast("double")
-    a = from_utm(t[2], t[5], crs)
-    z = from_utm(t[0] * w + t[1] * h + t[2], t[3] * w + t[4] * h + t[5], crs)
-    value = geodesic_m(a["lat"], a["lon"], z["lat"], z["lon"]) / F.sqrt(w * w + h * h)
-    ok = is_tiff(path) & (value > 0)
     fall = fallback if isinstance(fallback, Column) else F.lit(float(fallback))
-    return F.when(ok, F.struct(value.alias("gsd"), F.lit("geotiff_crs").alias("source"))).otherwise(F.struct(fall.alias("gsd"), F.lit("fallback").alias("source")))
+    none = F.struct(fall.alias("gsd"), F.lit("fallback").alias("source"))
+    known = lambda v: F.when(v["gsd"] > 0, F.struct(v["gsd"].alias("gsd"), F.lit("geotiff_crs").alias("source"))).otherwise(none)
+    measured = _let(
+        lambda v: _let(known, gsd=geodesic_m(v["a"]["lat"], v["a"]["lon"], v["z"]["lat"], v["z"]["lon"]) / F.sqrt(v["n"])),
+        a=from_utm(t[2], t[5], crs), z=from_utm(t[0] * w + t[1] * h + t[2], t[3] * w + t[4] * h + t[5], crs), n=w * w + h * h,
+    )
+    return F.coalesce(F.when(is_tiff(path), measured), none)
 
 
 def image_centre(path: Column | str, t: Column | str, width: Column | str, height: Column | str, crs: Column | str) -> Column:
