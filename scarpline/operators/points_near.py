@@ -49,15 +49,16 @@ def _point_keys(lat: np.ndarray, lon: np.ndarray, height: float, reach: float) -
     return _key(slab, np.minimum(np.floor((lon % 360.0) / (360.0 / n)).astype(np.int64), n - 1))
 
 
-def _spread(x0, y0, x1, y1, height: float, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): the blocks that boxes, widened by reach degrees of latitude and as many metres of longitude, touch."""
-    s0 = np.floor((y0 - reach) / height).astype(np.int64)
-    n = np.floor((y1 + reach) / height).astype(np.int64) - s0 + 1
+def _spread(x0, y0, x1, y1, height: float, reach: float, widen: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): the blocks that boxes touch, with widen widened by reach degrees of latitude and as many metres of longitude."""
+    pad = reach if widen else 0.0
+    s0 = np.floor((y0 - pad) / height).astype(np.int64)
+    n = np.floor((y1 + pad) / height).astype(np.int64) - s0 + 1
     row = np.repeat(np.arange(len(n)), n)
     slab = np.repeat(s0 - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
     count = _slab_blocks(slab, height, reach)
     width = 360.0 / count
-    wide = np.where(count > 1, reach * width / height * 1.0000001, 0.0)
+    wide = np.where(count > 1, pad * width / height * 1.0000001, 0.0)
     b0 = np.floor((x0[row] - wide) / width).astype(np.int64)
     m = np.minimum(np.floor((x1[row] + wide) / width).astype(np.int64) - b0 + 1, count)
     again = np.repeat(np.arange(len(m)), m)
@@ -119,11 +120,11 @@ def shapes(geometries: DataFrame, key: str, geometry: str, distance_m: float, he
             if edges:
                 g = np.array(edges, dtype=float)
                 g = np.c_[g, np.zeros((len(g), 2))]
-                rows.append((0, *_spread(np.minimum(g[:, 1], g[:, 3]), np.minimum(g[:, 2], g[:, 4]), np.maximum(g[:, 1], g[:, 3]), np.maximum(g[:, 2], g[:, 4]), height, reach), g))
+                rows.append((0, *_spread(np.minimum(g[:, 1], g[:, 3]), np.minimum(g[:, 2], g[:, 4]), np.maximum(g[:, 1], g[:, 3]), np.maximum(g[:, 2], g[:, 4]), height, reach, True), g))
             if ring_edges:
                 r = np.array(ring_edges, dtype=float)
                 t = np.stack(_trapezoids(r[:, 0], *(r[:, k] for k in (1, 2, 3, 4))), 1)
-                rows.append((1, *_spread(np.minimum(t[:, 3], t[:, 4]), t[:, 1], np.maximum(t[:, 5], t[:, 6]), t[:, 2], height, 0.0), t))
+                rows.append((1, *_spread(np.minimum(t[:, 3], t[:, 4]), t[:, 1], np.maximum(t[:, 5], t[:, 6]), t[:, 2], height, reach, False), t))
             for kind, row, block, g in rows:
                 v = g[row]
                 yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.full(len(v), kind, np.int32)), pa.array(ids[v[:, 0].astype(np.int64)]), *(pa.array(v[:, k]) for k in range(1, 7))], names=[c.split()[0] for c in _SHAPES.split(", ")])

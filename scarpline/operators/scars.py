@@ -26,7 +26,7 @@ def scars_of(detections: DataFrame, gsd: Column | float | None = None, name: str
     """One row for each detection of an image (name, detections): scar_id by its place among all detections, area_m2, confidence; areas of 0 are left out."""
     each = detections.select("*", F.posexplode("detections").alias("at", "d")).drop("detections")
     each = each.withColumn("scar_id", scar_id(F.col(name), F.col("at"))).withColumn("area_m2", G.area_m2(F.col("d")["mask_polygon"], gsd))
-    return each.where("area_m2 > 0").withColumn("confidence", F.col("d")["confidence"]).drop("at")
+    return each.where("area_m2 > 0").withColumn("confidence", F.col("d")["confidence"]).withColumnRenamed("at", "scar_no")
 
 
 def skipped(detections: DataFrame, name: str = "stem") -> DataFrame:
