@@ -107,12 +107,12 @@ def candidates(rooted: DataFrame, both: Column | None = None, keep: tuple[str, .
 
 
 def exact(pairs: DataFrame, records: DataFrame, key: str, texts: list[str]) -> DataFrame:
-    """Of (a, b) those whose words are near, with the exact counts: (a, b, shared, total)."""
+    """Of (a, b) those whose words are near, with the exact counts: (a, b, shared, total, size_a, size_b)."""
     ends = pairs.select("a", "b", F.inline(F.array(F.struct(F.col("a").alias(key), F.lit(True).alias("first")), F.struct(F.col("b").alias(key), F.lit(False).alias("first")))))
     told = ends.join(records.select(key, *texts), key).select("a", "b", "first", words(*map(F.col, texts)).alias("w"))
     both = told.groupBy("a", "b").agg(F.max(F.when(F.col("first"), F.col("w"))).alias("wa"), F.max(F.when(~F.col("first"), F.col("w"))).alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
-    return both.select("a", "b", shared.alias("shared"), (F.size("wa") + F.size("wb") - shared).alias("total")).where("total > 0 and shared * 5 >= total * 4")
+    return both.select("a", "b", shared.alias("shared"), (F.size("wa") + F.size("wb") - shared).alias("total"), F.size("wa").alias("size_a"), F.size("wb").alias("size_b")).where("total > 0 and shared * 5 >= total * 4")
 
 
 ITEM_TEXTS = ["img_path", "mask_path"]

@@ -55,25 +55,54 @@ def near_hashes(left: DataFrame, right: DataFrame, limit: int = HASH_BITS) -> Da
     return few.join(many, "block").where(F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= limit).select("g", "h").distinct()
 
 
+def _in_splits(items: DataFrame) -> DataFrame:
+    r = items.select("item_id", *ITEM_TEXTS, "phash", "dataset", split_of(F.col("old_split")).alias("split")).where("split is not null")
+    return r.withColumn("training", F.col("split") == "train")
+
+
+def name_overlaps(items: DataFrame) -> DataFrame:
+    """(a, b, shared, total, size_a, size_b), a < b: one item in train, the other in validation or test, and near names; counted in words."""
+    r = _in_splits(items)
+    seqs = sequences(r, "item_id", ITEM_TEXTS, ("training",))
+    found = candidates(roots(seqs, "item_id", ("training",)), F.col("x_training") != F.col("y_training"), ("training",))
+    return exact(found, r, "item_id", ITEM_TEXTS)
+
+
+def image_overlaps(items: DataFrame) -> DataFrame:
+    """(e, t): evaluation and training items whose hashes are within 5 bits; equal hashes are joined once and spread to their items at the end."""
+    hashed = _in_splits(items).where("phash is not null").select("item_id", F.col("phash").alias("h"), "training")
+    close = near_hashes(hashed.where("not training"), hashed.where("training"))
+    ev = hashed.where("not training").select(F.col("item_id").alias("e"), F.col("h").alias("g"))
+    tr = hashed.where("training").select(F.col("item_id").alias("t"), "h")
+    return close.join(ev, "g").join(tr, "h").select("e", "t").distinct()
+
+
 def cross_split_pairs(items: DataFrame) -> DataFrame:
     """(item_a, item_b), item_a < item_b: one item in train, the other in validation or test, and hashes within 5 bits or near names.
 
     Items whose old_split is NULL, blank or unknown take no part; a NULL phash matches nothing; repeated rows count once.
-    Equal hashes are joined once and spread to their items at the end.
     """
-    r = items.select("item_id", *ITEM_TEXTS, "phash", split_of(F.col("old_split")).alias("split")).where("split is not null")
-    r = r.withColumn("training", F.col("split") == "train")
-    hashed = r.where("phash is not null").select("item_id", F.col("phash").alias("h"), "training")
-    close = near_hashes(hashed.where("not training"), hashed.where("training"))
-    ev = hashed.where("not training").select(F.col("item_id").alias("e"), F.col("h").alias("g"))
-    tr = hashed.where("training").select(F.col("item_id").alias("t"), "h")
-    by_hash = close.join(ev, "g").join(tr, "h").select(F.least("e", "t").alias("item_a"), F.greatest("e", "t").alias("item_b"))
-    seqs = sequences(r, "item_id", ITEM_TEXTS, ("training",))
-    found = candidates(roots(seqs, "item_id", ("training",)), F.col("x_training") != F.col("y_training"), ("training",))
-    by_name = exact(found, r, "item_id", ITEM_TEXTS).select(F.col("a").alias("item_a"), F.col("b").alias("item_b"))
+    by_hash = image_overlaps(items).select(F.least("e", "t").alias("item_a"), F.greatest("e", "t").alias("item_b"))
+    by_name = name_overlaps(items).select(F.col("a").alias("item_a"), F.col("b").alias("item_b"))
     return by_hash.unionByName(by_name).where("item_a <> item_b").distinct()
 
 
+def coverage(items: DataFrame) -> DataFrame:
+    """(item_id, split, dataset, names, images, coverage) of each evaluation item that stands in train.
+
+    names and images count its partners of each kind; coverage is the greatest share of the item's own words that one training item
+    of a near name covers, NULL if there is none.
+    """
+    r = _in_splits(items).groupBy("item_id").agg(*[F.min(c).alias(c) for c in ("split", "dataset")])
+    n = name_overlaps(items)
+    ends = n.select(F.inline(F.array(F.struct(F.col("a").alias("item_id"), (F.col("shared") / F.col("size_a")).alias("part")), F.struct(F.col("b").alias("item_id"), (F.col("shared") / F.col("size_b")).alias("part")))))
+    by_name = ends.groupBy("item_id").agg(F.count(F.lit(1)).alias("names"), F.max("part").alias("coverage"))
+    by_image = image_overlaps(items).groupBy(F.col("e").alias("item_id")).agg(F.count(F.lit(1)).alias("images"))
+    both = by_name.join(by_image, "item_id", "full").join(r.where("split <> 'train'"), "item_id")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return both.select("item_id", "split", "dataset", zero("names"), zero("images"), F.round("coverage", 6).alias("coverage"))
+
+
 def overlap_report(items: DataFrame) -> DataFrame:
     """(split, dataset, items, overlapping, pairs): for each evaluation split and dataset, its items, those that also stand in train, and the pairs; split and dataset of the evaluation item. A NULL dataset is a group of its own."""
     one = items.groupBy("item_id").agg(*[F.min(c).alias(c) for c in ("dataset", "old_split")])

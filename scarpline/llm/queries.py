@@ -10,7 +10,7 @@ from scarpline.llm.components import match_groups
 from scarpline.llm.encode import token_ids
 from scarpline.llm.garbled import garbled
 from scarpline.llm.names import near_name_groups, near_names
-from scarpline.llm.overlap import cross_split_pairs, overlap_report
+from scarpline.llm.overlap import coverage, cross_split_pairs, overlap_report
 from scarpline.llm.packing import pack_texts
 from scarpline.llm.splits import keep_together
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": lambda s, d: match_groups(_table(s, d, "dup_groups")),
     "p3_found": lambda s, d: cross_split_pairs(_table(s, d, "rebuild_nepal_split")),
     "p3_overlap_report": lambda s, d: overlap_report(_table(s, d, "rebuild_nepal_split")),
+    "p3_coverage": lambda s, d: coverage(_table(s, d, "rebuild_nepal_split")),
     "p4_found": lambda s, d: near_names(_table(s, d, "rebuild_nepal_split")),
     "p4_groups": lambda s, d: near_name_groups(_table(s, d, "rebuild_nepal_split")),
     "p5_splits": lambda s, d: keep_together(_table(s, d, "rebuild_nepal_split"), _table(s, d, "dup_groups")),
@@ -59,6 +60,12 @@ SELECT a AS img_path, least(a, min(b)) AS group_path FROM reach GROUP BY a""",
     "p3_overlap_report": f"""WITH {_WORDS}, {_CROSS}
 SELECT p.split, p.dataset, count(*) AS items, count(n) AS overlapping, coalesce(sum(n), 0)::BIGINT AS pairs FROM part p
 LEFT JOIN (SELECT item_id, count(*) AS n FROM cross_pair GROUP BY item_id) c ON c.item_id = p.item_id WHERE p.split IN ('validation', 'test') GROUP BY ALL""",
+    "p3_coverage": f"""WITH {_WORDS}, {_CROSS},
+ends AS (SELECT item_a AS item_id, item_b AS other FROM near UNION ALL SELECT item_b, item_a FROM near),
+named AS (SELECT e.item_id, count(*) AS names, round(max(shared.n / size.n), 6) AS coverage FROM ends e JOIN part p ON p.item_id = e.item_id AND p.split IN ('validation', 'test') JOIN part t ON t.item_id = e.other AND t.split = 'train'
+  JOIN shared ON shared.item_a = least(e.item_id, e.other) AND shared.item_b = greatest(e.item_id, e.other) JOIN size ON size.item_id = e.item_id GROUP BY e.item_id),
+imaged AS (SELECT e.item_id, count(*) AS images FROM part e JOIN part t ON e.split IN ('validation', 'test') AND t.split = 'train' AND bit_count(xor(e.phash, t.phash)) <= 5 GROUP BY e.item_id)
+SELECT p.item_id, p.split, p.dataset, coalesce(names, 0) AS names, coalesce(images, 0) AS images, coverage FROM part p LEFT JOIN named USING (item_id) LEFT JOIN imaged USING (item_id) WHERE names IS NOT NULL OR images IS NOT NULL""",
     "p4_found": f"WITH {_WORDS} SELECT item_a, item_b FROM near",
     "p4_groups": f"""WITH RECURSIVE {_WORDS}, edge AS (SELECT item_a AS a, item_b AS b FROM near UNION SELECT item_b, item_a FROM near),
 reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
