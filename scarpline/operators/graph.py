@@ -12,15 +12,18 @@ from scarpline.session import materialize, release
 def linked_groups(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200) -> DataFrame:
     """(node, label): for each end of an edge, the smallest node linked with it.
 
-    Each round a node takes the smallest label among its neighbours' and then its label's label (pointer jumping), until none
-    changes. Loops are kept as groups of one; NULL ends are left out; repeated and reversed edges add nothing.
+    Each round a node, and the node that is its label, take the smallest label among its neighbours', and then that label's label
+    (hooking and pointer jumping), until none changes: the rounds grow as the logarithm of the longest way. Loops are kept as groups of one; NULL ends are left out; repeated and reversed edges add nothing.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
-    both = materialize(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    both = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+    both = materialize(both.distinct())
     labels = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
     for _ in range(max_rounds):
-        heard = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("label").alias("heard"))
-        step = labels.join(heard, F.col("node") == F.col("u")).select("node", "label", F.least("label", "heard").alias("next"))
+        far = both.join(labels.select(F.col("node").alias("v"), F.col("label").alias("lv")), "v").select("u", "lv")
+        told = far.join(labels.select(F.col("node").alias("u"), F.col("label").alias("lu")), "u").where("lv < lu")
+        heard = told.select(F.inline(F.array(F.struct(F.col("u").alias("node"), "lv"), F.struct(F.col("lu").alias("node"), "lv")))).groupBy("node").agg(F.min("lv").alias("heard"))
+        step = labels.join(heard, "node", "left").select("node", "label", F.coalesce("heard", "label").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("further"))
         after = materialize(step.join(jump, "next").select("node", F.least("next", "further").alias("new"), "label"))
         changed = not after.where("new <> label").isEmpty()

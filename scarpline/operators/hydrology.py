@@ -197,11 +197,11 @@ def graph_summary(nodes: DataFrame, edges: DataFrame, area: str = "area") -> Dat
 SENT_NODES = 2_000
 
 
-def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str, area: str | None = None, cell: float = 0.05, max_rounds: int = 14) -> DataFrame:
+def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str, area: str | None = None, cell: float | None = None, max_rounds: int = 16) -> DataFrame:
     """(key, node, d2): for each point (key, lat, lon) the node (node, lat, lon) nearest in degrees, the smallest of equal ones.
 
-    Points and nodes meet in cells and their neighbours; a point whose nearest lies farther away than a cell goes on with cells four
-    times as wide. area, if given, must agree; a point of an area without nodes has no row. Points with a NULL coordinate and nodes with one take no part.
+    Points and nodes meet in cells and their neighbours, by default of such a size that two nodes are in one on average; a point whose
+    nearest lies farther away than a cell goes on with cells four times as wide. area, if given, must agree; a point of an area without nodes has no row. Points with a NULL coordinate and nodes with one take no part.
     """
     on = [area] if area else []
     p = points.select(key, *on, "lat", "lon").where("lat is not null and lon is not null")
@@ -212,6 +212,9 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str, area: str
         near = F.broadcast(n)  # at most SENT_NODES rows
         every = p.join(near, on) if on else p.crossJoin(near)
         return every.groupBy(key).agg(best).select(key, F.col("b.node").alias(node), F.col("b.d2").alias("d2"))
+    if cell is None:
+        b = n.agg((F.max("_lat") - F.min("_lat")).alias("h"), (F.max("_lon") - F.min("_lon")).alias("w"), F.count(F.lit(1)).alias("n")).first()
+        cell = max((2 * max(b["h"], 1e-3) * max(b["w"], 1e-3) / b["n"]) ** 0.5, 1e-4)
     out, rest = None, p
     for _ in range(max_rounds):
         size = cell
