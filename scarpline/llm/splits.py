@@ -29,15 +29,18 @@ def propagate(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
     """(entity, label) from a record-entity table (record, entity): entities that records link, directly or over others, get the same, smallest label.
 
     Records with the same pair of entities are one record here; NULLs link nothing. In each round labels go from entities to
-    records and back and then jump to the label's own label, so that long chains take few rounds.
+    records and back, also to the entity that is the old label, and then jump to the label's own label, so that long chains take few
+    rounds.
     """
     e = materialize(edges.where("record is not null and entity is not null").select("record", "entity").distinct())
     labels = materialize(e.select("entity").distinct().withColumn("label", F.col("entity")))
     for _ in range(max_rounds):
-        low = e.join(labels, "entity").groupBy("record").agg(F.min("label").alias("low"))
-        heard = e.join(low, "record").groupBy("entity").agg(F.min("low").alias("heard"))
-        step = labels.join(heard, "entity").select("entity", "label", F.least("label", "heard").alias("next"))
-        jump = step.select(F.col("entity").alias("next"), F.col("next").alias("further"))
+        each = e.join(labels, "entity")
+        low = each.groupBy("record").agg(F.min("label").alias("low"))
+        told = each.join(low, "record").where("low < label")
+        heard = told.select(F.inline(F.array(F.struct("entity", "low"), F.struct(F.col("label").alias("entity"), "low")))).groupBy("entity").agg(F.min("low").alias("heard"))
+        step = labels.join(heard, "entity", "left").select("entity", "label", F.coalesce("heard", "label").alias("next"))
+        jump = labels.select(F.col("entity").alias("next"), F.col("label").alias("further"))
         after = materialize(step.join(jump, "next", "left").select("entity", F.least("next", F.coalesce("further", "next")).alias("new"), "label"))
         changed = not after.where("new <> label").isEmpty()
         release(labels)
