@@ -16,14 +16,13 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from scarpline.session import materialize
 
 #: Words are counted in so many buckets, whatever the corpus: the size of what goes to each task is fixed.
 BUCKETS = 1 << 16
 #: A root with more records than LEAF gets one vantage point for every LEAF of them, up to VANTAGES; shards then grow, none is cut.
-LEAF, VANTAGES = 64, 32
+LEAF, VANTAGES = 64, 256
 
 
 def words(*texts: Column) -> Column:
@@ -73,8 +72,10 @@ def _distance(f0: Column, f1: Column, g0: Column, g1: Column) -> Column:
 def shards(rooted: DataFrame, leaf: int = LEAF, vantages: int = VANTAGES) -> tuple[DataFrame, DataFrame]:
     """(homes, visits): each row of rooted in its own shard of its root's tree, and in every shard that the bounds leave open to it; v is its distance to the shard's vantage point."""
     small, large = rooted.where(F.col("n") <= leaf), rooted.where(F.col("n") > leaf)
-    points = large.where(F.col("rn") <= F.least(F.lit(vantages), F.ceil(F.col("n") / leaf)))
-    points = points.groupBy("root").agg(F.collect_list(F.struct("f0", "f1")).alias("points"))
+    wanted = F.least(F.lit(vantages), F.ceil(F.col("n") / leaf))
+    drawn = large.where(F.pmod(F.xxhash64("id"), F.col("n")) < wanted * 2)  # about twice as many as wanted, by the hash of the id
+    points = drawn.groupBy("root").agg(F.slice(F.array_sort(F.collect_set(F.struct("f0", "f1"))), 1, F.first(wanted).cast("int")).alias("points"))
+    points = large.select("root").distinct().join(points, "root", "left").withColumn("points", F.coalesce("points", F.array(F.struct(F.lit(0).cast("long").alias("f0"), F.lit(0).cast("long").alias("f1")))))
     seen = large.join(points, "root").withColumn("d", F.transform("points", lambda p: _distance(F.col("f0"), F.col("f1"), p["f0"], p["f1"]))).drop("points")
     seen = seen.withColumn("least", F.array_min("d"))
     home = seen.withColumn("shard", F.array_position("d", F.col("least")).cast("int")).withColumn("v", F.col("least")).drop("d", "least")
@@ -86,10 +87,9 @@ def shards(rooted: DataFrame, leaf: int = LEAF, vantages: int = VANTAGES) -> tup
 
 def candidates(rooted: DataFrame, both: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(a, b), a < b: pairs that share a root and whose fingerprints are within the bound. both: a condition on x_ and y_ columns of keep."""
-    w = W.partitionBy("root")
-    spread = rooted.repartition("root")
-    counted = spread.withColumn("n", F.count(F.lit(1)).over(w)).where("n > 1").withColumn("rn", F.row_number().over(w.orderBy(F.xxhash64("id"), "id")))
-    homes, visits = shards(materialize(counted))
+    rooted = materialize(rooted)
+    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # combined before the shuffle; a hot root is one row
+    homes, visits = shards(materialize(rooted.join(sizes, "root")))
     cols = ("id", "size", "f0", "f1", "v", *keep)
     x = homes.select("root", "shard", *[F.col(c).alias(f"x_{c}") for c in cols])
     y = visits.select("root", "shard", *[F.col(c).alias(f"y_{c}") for c in cols])

@@ -22,7 +22,7 @@ SHARES = {"train": 230, "validation": 35, "test": 10}
 LARGE = 2000
 #: Strata are the STRATA most frequent labels; all other records are one stratum more.
 STRATA = 500
-_SLOTS = 256
+_SLOTS = 1024
 
 
 def propagate(edges: DataFrame, max_rounds: int = 500) -> DataFrame:
