@@ -18,25 +18,52 @@ def paired(images: DataFrame, masks: DataFrame, image_key: Column, mask_key: Col
     return i.join(m, [*by, "_key"]).drop("_key")
 
 
-def _bands(h: Column, k: int) -> Column:
-    """k + 1 pieces of a hash, numbered: two hashes that differ in at most k bits agree on one of them."""
-    edges = [round(64 * j / (k + 1)) for j in range(k + 2)]
-    pieces = [F.struct(F.lit(j).alias("band"), F.shiftrightunsigned(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("piece")) for j, (a, b) in enumerate(zip(edges, edges[1:]))]
-    return F.array(*pieces)
+def hash_blocks(limit: int) -> list[tuple[int, int]]:
+    """(first bit, width) of blocks of a 64-bit hash, of which one has at most one differing bit where two hashes differ in at most limit bits."""
+    n = limit // 2 + 1
+    edges = [round(64 * j / n) for j in range(n + 1)]
+    return [(a, b - a) for a, b in zip(edges, edges[1:])]
+
+
+def _keys(at: int, width: int, k: int, spread: bool) -> Column:
+    mask = F.lit((1 << width) - 1 if width < 64 else -1).cast("long")
+    b = F.shiftrightunsigned("h", at).bitwiseAND(mask)
+    keys = F.array(b)
+    if spread:
+        flip = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
+        keys = F.concat(keys, F.transform(flip, lambda bit: b.bitwiseXOR(bit)))
+    return F.transform(keys, lambda x: F.struct(F.lit(k).alias("k"), x.alias("block")))
+
+
+def _blocks(hashes: DataFrame, limit: int, spread: bool) -> DataFrame:
+    """(h, k, block): the value of each block, with spread also each that differs from it in one bit."""
+    return hashes.select("h", F.inline(F.concat(*[_keys(a, w, k, spread) for k, (a, w) in enumerate(hash_blocks(limit))])))
+
+
+def near_hashes(left: DataFrame, right: DataFrame, limit: int = C.HASH_BITS) -> DataFrame:
+    """(g, h): the pairs of a hash of left and one of right (columns h, BIGINT, NULLs left out) that differ in at most limit bits.
+
+    Repeated hashes count once. Each hash of left looks its blocks up with up to one bit changed, so that rows grow as the tables and
+    not as their product; the smaller table is better left.
+    """
+    assert 0 <= limit < 64
+    few = _blocks(left.where("h is not null").select("h").distinct(), limit, limit > 0).withColumnRenamed("h", "g")
+    many = _blocks(right.where("h is not null").select("h").distinct(), limit, False)
+    return few.join(many, ["k", "block"]).where(F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= limit).select("g", "h").distinct()
 
 
 def hash_pairs(items: DataFrame, key: str, hash_: str, limit: int = C.HASH_BITS, keep: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
     """(a, b, distance, *a_keep, *b_keep), a < b: items whose hashes differ in at most limit bits; NULL hashes match nothing.
 
-    Hashes are cut into limit + 1 bands and meet where one band agrees; where is a condition on a_ and b_ columns of keep.
+    Different hashes are compared once and spread to their items at the end; where is a condition on a_ and b_ columns of keep.
     """
     d = items.where(F.col(hash_).isNotNull()).select(key, F.col(hash_).alias("h"), *keep).distinct()
-    side = lambda p: d.select(F.col(key).alias(p), F.col("h").alias(f"{p}_h"), *[F.col(c).alias(f"{p}_{c}") for c in keep], F.inline(_bands(F.col("h"), limit)))
-    distance = F.bit_count(F.col("a_h").bitwiseXOR(F.col("b_h"))).cast("int")
-    j = side("a").join(side("b"), ["band", "piece"]).where(F.col("a") < F.col("b")).withColumn("distance", distance).where(F.col("distance") <= limit)
+    close = near_hashes(d, d, limit)
+    side = lambda p, h: d.select(F.col(key).alias(p), F.col("h").alias(h), *[F.col(c).alias(f"{p}_{c}") for c in keep])
+    j = close.join(side("a", "g"), "g").join(side("b", "h"), "h").where(F.col("a") < F.col("b"))
     if where is not None:
         j = j.where(where)
-    return j.drop("band", "piece", "a_h", "b_h").distinct()
+    return j.withColumn("distance", F.bit_count(F.col("g").bitwiseXOR(F.col("h"))).cast("int")).drop("g", "h")
 
 
 def duplicate_groups(pairs: DataFrame, items: DataFrame, key: str) -> DataFrame:
@@ -54,26 +81,38 @@ def group_summary(groups: DataFrame) -> DataFrame:
 def greedy_split(groups: DataFrame, targets: dict[str, int] | None = None) -> DataFrame:
     """(group_id, size, split): groups, larger ones first and then by id, each to the split farthest below its share of what is assigned; ties in the order of targets.
 
-    Only the number of groups of each size comes to the driver; the order within a size is by group_id.
+    Only the number of groups of each size comes to the driver; the order within a size is by group_id. Among groups of one size the
+    choice repeats itself once the shortfalls do, so that a million groups take no more steps than some hundreds.
     """
     targets = targets or C.SPLIT_TARGETS
-    total = sum(targets.values())
+    names, total = list(targets), sum(targets.values())
     sized = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
-    have, assigned, runs = dict.fromkeys(targets, 0), 0, []
+    have, assigned, table = [0] * len(names), 0, []
     for size, n in sorted(((r["size"], r["n"]) for r in sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
-        begin = 1
-        for k in range(1, n + 1):
-            split = max(targets, key=lambda s: targets[s] / total - (have[s] / assigned if assigned else 0.0))
-            have[split] += size
+        seen: dict[tuple[int, ...], int] = {}
+        chosen: list[int] = []
+        start, period = n, 1
+        while len(chosen) < n:
+            short = tuple(t * assigned - total * h for t, h in zip(targets.values(), have)) if assigned else tuple(targets.values())
+            if assigned and short in seen:
+                start, period = seen[short], len(chosen) - seen[short]
+                turn = chosen[start:]
+                rounds, rest = divmod(n - len(chosen), period)
+                for k, s in enumerate(turn):
+                    have[s] += size * (rounds + (k < rest))
+                assigned += size * (n - len(chosen))
+                break
+            seen[short] = len(chosen)
+            s = max(range(len(names)), key=lambda k: short[k])
+            chosen.append(s)
+            have[s] += size
             assigned += size
-            if runs and runs[-1][0] == size and runs[-1][3] == split:
-                runs[-1][2] = k
-            else:
-                runs.append([size, begin, k, split])
-            begin = k + 1
-    table = groups.sparkSession.createDataFrame([tuple(r) for r in runs], "size long, first int, last int, split string")
-    ranked = sized.withColumn("_n", F.row_number().over(W.partitionBy("size").orderBy("group_id")))
-    return ranked.join(table, (ranked["size"] == table["size"]) & F.col("_n").between(F.col("first"), F.col("last"))).select("group_id", ranked["size"], "split")
+        table += [(size, k, start, period, names[s]) for k, s in enumerate(chosen)]
+    steps = groups.sparkSession.createDataFrame(table, "size long, step int, start int, period int, split string")
+    turns = steps.select("size", "start", "period").distinct()
+    ranked = sized.withColumn("n", F.row_number().over(W.partitionBy("size").orderBy("group_id")) - 1).join(turns, "size")
+    step = F.when(F.col("n") < F.col("start"), F.col("n")).otherwise(F.col("start") + (F.col("n") - F.col("start")) % F.col("period")).cast("int")
+    return ranked.withColumn("step", step).join(steps.select("size", "step", "split"), ["size", "step"]).select("group_id", "size", "split")
 
 
 def stratified_sample(items: DataFrame, key: str, stratum: str, order: Column, total: int = C.AUDIT_SAMPLE, last: str | None = None) -> DataFrame:

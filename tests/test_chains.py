@@ -1,5 +1,7 @@
 import json
 import os
+import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -71,13 +73,28 @@ def test_hash_pairs_like_brute_force(spark):
     assert got == want
 
 
+def test_near_hashes(spark):
+    rnd = random.Random(6)
+    base = [rnd.randrange(-(2**63), 2**63) for _ in range(20)] + [0, -1, 2**63 - 1, -(2**63)]
+
+    def flip(h, n):
+        for b in rnd.sample(range(64), n):
+            h ^= 1 << b
+        h &= 2**64 - 1
+        return h - 2**64 if h >= 2**63 else h
+
+    left, right = [flip(b, k % 4) for b in base for k in range(4)] + [None], [flip(b, k) for b in base for k in range(7)] + [None]
+    got = {tuple(r) for r in Y.near_hashes(spark.createDataFrame([(h,) for h in left], "h long"), spark.createDataFrame([(h,) for h in right], "h long")).collect()}
+    assert got == {(g, h) for g in left for h in right if g is not None and h is not None and bin((g ^ h) & (2**64 - 1)).count("1") <= 5}
+
+
 def test_greedy_split_like_the_plain_loop(spark):
-    sizes = [49, 31, 19, 19, 5, 5, 5] + [2] * 40 + [1] * 200
+    sizes = [49, 31, 19, 19, 5, 5, 5] + [3] * 300 + [2] * 40 + [1] * 700
     groups = [(g, i) for g, n in enumerate(sizes) for i in range(n)]
     got = {r.group_id: r.split for r in Y.greedy_split(spark.createDataFrame(groups, "group_id int, item int")).collect()}
-    targets, have, total = {"train": 230 / 275, "validation": 35 / 275, "test": 10 / 275}, {"train": 0, "validation": 0, "test": 0}, 0
+    targets, have, total = {"train": Fraction(230, 275), "validation": Fraction(35, 275), "test": Fraction(10, 275)}, {"train": 0, "validation": 0, "test": 0}, 0
     for g in sorted(range(len(sizes)), key=lambda g: (-sizes[g], g)):
-        s = max(targets, key=lambda k: targets[k] - (have[k] / total if total else 0))
+        s = max(targets, key=lambda k: targets[k] - (Fraction(have[k], total) if total else 0))
         assert got[g] == s
         have[s] += sizes[g]
         total += sizes[g]
