@@ -15,46 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scarpline.llm.names import ITEM_TEXTS, candidates, exact, roots, sequences
+from scarpline.operators.hygiene import near_hashes
 from scarpline.session import materialize
 
-#: Fixed: first bit and width of the three blocks of a 64-bit hash. At most 5 differing bits leave one block with at most 1.
-BLOCKS = ((0, 22), (22, 21), (43, 21))
-HASH_BITS = 5
-
-
 def split_of(old_split: Column) -> Column:
     """train, validation, test or NULL, by the first letters, without regard to case and outer blanks."""
     s = F.lower(F.regexp_replace(old_split, r"^[\s\p{Z}]+", ""))
     return F.when(s.startswith("tr"), "train").when(s.startswith("va"), "validation").when(s.startswith("te") | s.startswith("ts"), "test")
 
 
-def _block(h: Column, k: int) -> Column:
-    at, width = BLOCKS[k]
-    return F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-
-
-def _keys(k: int, spread: bool) -> Column:
-    b = _block(F.col("h"), k)
-    keys = F.array(b)
-    if spread:
-        flip = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS[k][1] - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
-        keys = F.concat(keys, F.transform(flip, lambda bit: b.bitwiseXOR(bit)))
-    return F.transform(keys, lambda x: F.struct((x * 4 + k).alias("block")))
-
-
-def _blocks(hashes: DataFrame, spread: bool) -> DataFrame:
-    """(h, block): the block of each kind, with spread also each that differs from it in one bit."""
-    return hashes.select("h", F.inline(F.concat(*[_keys(k, spread) for k in range(len(BLOCKS))])))
-
-
-def near_hashes(left: DataFrame, right: DataFrame, limit: int = HASH_BITS) -> DataFrame:
-    """(g, h): the pairs of a hash of left and one of right (columns h, BIGINT, NULLs left out) that differ in at most limit <= 5 bits. Repeated hashes count once."""
-    assert 0 <= limit <= HASH_BITS
-    few = _blocks(left.where("h is not null").select("h").distinct(), True).withColumnRenamed("h", "g")
-    many = _blocks(right.where("h is not null").select("h").distinct(), False)
-    return few.join(many, "block").where(F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= limit).select("g", "h").distinct()
-
-
 def _in_splits(items: DataFrame) -> DataFrame:
     r = items.select("item_id", *ITEM_TEXTS, "phash", "dataset", split_of(F.col("old_split")).alias("split")).where("split is not null")
     return r.withColumn("training", F.col("split") == "train")
