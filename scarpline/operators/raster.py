@@ -282,21 +282,55 @@ def inside_even_odd(xs: np.ndarray, ys: np.ndarray, ring: np.ndarray) -> np.ndar
     return hit
 
 
-def iou(a: list[np.ndarray], b: list[np.ndarray], cells: int = 256) -> float:
-    """Intersection over union of two unions of polygons, on cells x cells sample points over both; 0.0 if either is empty."""
-    a, b = ([p for p in s if len(p) >= 3] for s in (a, b))
-    if not a or not b:
+def overlap_areas(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[float, float]:
+    """Areas of the intersection and of the union of two unions of polygons (each polygon by the even-odd rule), exactly.
+
+    Every vertex and every crossing of two edges begins a slab; inside a slab edges only follow each other, so that what lies between
+    two neighbours is a trapezoid with one state.
+    """
+    rings = [(r, k) for k, s in enumerate((a, b)) for r in s if len(r) >= 3]
+    e = [(*p, *q, n, k) for n, (r, k) in enumerate(rings) for p, q in zip(r, np.roll(r, -1, 0)) if p[1] != q[1]]
+    if not e:
+        return 0.0, 0.0
+    e = np.array(e, dtype=float)
+    swap = e[:, 1] > e[:, 3]
+    e[swap] = e[swap][:, [2, 3, 0, 1, 4, 5]]
+    x0, y0, x1, y1 = e[:, :4].T
+    dx, dy = x1 - x0, y1 - y0
+    i, j = np.triu_indices(len(e), 1)
+    det = dx[i] * dy[j] - dy[i] * dx[j]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = ((x0[j] - x0[i]) * dy[j] - (y0[j] - y0[i]) * dx[j]) / det
+        u = ((x0[j] - x0[i]) * dy[i] - (y0[j] - y0[i]) * dx[i]) / det
+        crosses = (det != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
+    ys = np.unique(np.r_[y0, y1, (y0[i] + t * dy[i])[crosses]])
+    both = either = 0.0
+    for lo, hi in zip(ys, ys[1:]):
+        middle = (lo + hi) / 2
+        on = np.flatnonzero((y0 <= middle) & (y1 > middle))
+        x = x0[on] + (middle - y0[on]) / dy[on] * dx[on]
+        order = np.argsort(x, kind="stable")
+        inside, count = set(), [0, 0]
+        for k, m in zip(order, order[1:]):
+            n, s = int(e[on[k], 4]), int(e[on[k], 5])
+            count[s] += -1 if n in inside else 1
+            inside ^= {n}
+            part = (x[m] - x[k]) * (hi - lo)
+            either += part if count[0] or count[1] else 0.0
+            both += part if count[0] and count[1] else 0.0
+    return both, either
+
+
+def iou(a: list[np.ndarray], b: list[np.ndarray]) -> float:
+    """Intersection over union of two unions of polygons; 0.0 if either is empty or without area."""
+    if not any(len(p) >= 3 for p in a) or not any(len(p) >= 3 for p in b):
         return 0.0
-    every = np.vstack(a + b)
-    (x0, y0), (x1, y1) = every.min(0), every.max(0)
-    xs, ys = x0 + (np.arange(cells) + 0.5) * (x1 - x0) / cells, (y0 + (np.arange(cells) + 0.5) * (y1 - y0) / cells)[:, None]
-    one, two = (np.logical_or.reduce([inside_even_odd(xs[None, :], ys, p) for p in s]) for s in (a, b))
-    union = (one | two).sum()
-    return float((one & two).sum() / union) if union else 0.0
+    both, either = overlap_areas(a, b)
+    return float(both / either) if either else 0.0
 
 
 def polygon_iou(a: Column | str, b: Column | str) -> Column:
-    """IoU of two arrays of polygons, by sampling; NULL arrays count as empty."""
+    """IoU of two arrays of polygons; NULL arrays count as empty."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

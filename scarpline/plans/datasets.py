@@ -114,6 +114,13 @@ SELECT i.item_id, i.img_path AS path, m.mask_path FROM f i JOIN f m ON i.dataset
     "near_dup_pairs": f"WITH {_PAIRS} SELECT a, b, distance FROM pair",
     "near_dup_groups": f"{_GROUPS} SELECT item_id, group_id FROM grp",
     "dup_group_summary": f"{_GROUPS}, size AS (SELECT group_id, count(*) AS n FROM grp GROUP BY group_id) SELECT count(*) AS n_groups, count(*) FILTER (WHERE n > 1) AS n_multi, max(n) AS largest FROM size",
+    "greedy_group_split": f"""{_GROUPS}, size AS (SELECT group_id, count(*) AS size FROM grp GROUP BY group_id), line AS (SELECT *, row_number() OVER (ORDER BY size DESC, group_id) AS n FROM size),
+turn(n, t, v, e, split) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, '' UNION ALL
+  SELECT l.n, t + CASE WHEN pick = 'train' THEN size ELSE 0 END, v + CASE WHEN pick = 'validation' THEN size ELSE 0 END, e + CASE WHEN pick = 'test' THEN size ELSE 0 END, pick
+  FROM (SELECT *, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'validation' ELSE 'test' END AS pick
+    FROM (SELECT *, CASE WHEN n = 0 THEN 230 ELSE 230 * (t + v + e) - 275 * t END AS a, CASE WHEN n = 0 THEN 35 ELSE 35 * (t + v + e) - 275 * v END AS b, CASE WHEN n = 0 THEN 10 ELSE 10 * (t + v + e) - 275 * e END AS c FROM turn)) s
+  JOIN line l ON l.n = s.n + 1)
+SELECT group_id, size, split FROM line JOIN turn USING (n)""",
     "cross_split_leakage": f"""WITH {_PART}, o AS (SELECT *, CASE split WHEN 'train' THEN 0 WHEN 'validation' THEN 1 ELSE 2 END AS ord FROM parted WHERE split IS NOT NULL)
 SELECT a.dataset, a.split AS split_a, b.split AS split_b, count(*) AS pairs, count(*) FILTER (WHERE a.phash = b.phash) AS exact FROM o a JOIN o b ON a.dataset = b.dataset AND a.ord < b.ord AND bit_count(xor(a.phash, b.phash)) <= 5 GROUP BY ALL""",
     "cross_dataset_leakage": f"WITH {_PAIRS} SELECT least(a_dataset, b_dataset) AS dataset_a, greatest(a_dataset, b_dataset) AS dataset_b, count(*) AS pairs, count(*) FILTER (WHERE distance = 0) AS exact FROM pair WHERE a_dataset <> b_dataset GROUP BY ALL",

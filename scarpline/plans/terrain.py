@@ -129,7 +129,7 @@ def polygon_area(s, d):
 def polygon_overlap(s, d):
     b = _boxes(s, d)
     shifted = F.transform("polygon", lambda c: F.struct((c["x"] + F.col("w") / 2).alias("x"), c["y"].alias("y")))
-    return b.select("p_partkey", F.round(R.polygon_iou(F.array("polygon"), F.array(shifted)), 2).alias("iou"))
+    return b.select("p_partkey", F.round(R.polygon_iou(F.array("polygon"), F.array(shifted)), 6).alias("iou"))
 
 
 def stub_detection_area(s, d):
@@ -290,6 +290,7 @@ reach(chip_id, p, q) AS (SELECT chip_id, p, p FROM fg UNION SELECT r.chip_id, r.
 root AS (SELECT chip_id, p, min(q) AS r FROM reach GROUP BY chip_id, p)
 SELECT c.chip_id, count(DISTINCT r)::INT AS n_components FROM (SELECT DISTINCT chip_id FROM masks) c LEFT JOIN root ON root.chip_id = c.chip_id GROUP BY c.chip_id""",
     "polygon_area": f"WITH {_BOXES} SELECT p_partkey, (w * h + w * (h + 1)) / 2 AS area_px, round(w + h + sqrt(w * w + 1) + h + 1, 6) AS perimeter, (w * h + w * (h + 1)) / 2 * CASE WHEN p_partkey % 2 = 0 THEN 900.0::DOUBLE ELSE 100.0::DOUBLE END AS area_m2 FROM boxes",
+    "polygon_overlap": f"WITH {_BOXES}, o AS (SELECT p_partkey, w * (h + 0.5::DOUBLE) AS a, w / 2 * (h + 1) - 3 * w / 8 AS i FROM boxes) SELECT p_partkey, round(i / (2 * a - i), 6) AS iou FROM o",
     "stub_detection_area": """WITH i AS (SELECT p_partkey, (p_size + 64)::DOUBLE AS h, (p_partkey % 100 + 64)::DOUBLE AS w FROM part),
 c AS (SELECT p_partkey, [-1.0, -0.4, 0.5, 1.0, 0.3, -0.6][k]::DOUBLE * (w * 0.22::DOUBLE) + w * 0.55::DOUBLE AS x, [-0.3, -1.0, -0.6, 0.2, 1.0, 0.7][k]::DOUBLE * (h * 0.16::DOUBLE) + h * 0.5::DOUBLE AS y, k FROM i, range(1, 7) r(k)),
 p AS (SELECT p_partkey, k, round(x, 1) AS x, round(y, 1) AS y FROM c),

@@ -78,10 +78,21 @@ def test_polygons():
 @pytest.mark.parametrize("b, expected", [([(0, 0), (10, 0), (10, 10), (0, 10)], 1.0), ([(20, 20), (30, 20), (30, 30), (20, 30)], 0.0), ([(5, 0), (15, 0), (15, 10), (5, 10)], 50 / 150), ([(0, 0), (1, 1)], 0.0)])
 def test_iou(b, expected):
     a = [np.array([(0, 0), (10, 0), (10, 10), (0, 10)], dtype=float)]
-    assert R.iou(a, [np.array(b, dtype=float)]) == pytest.approx(expected, abs=0.01)
+    assert R.iou(a, [np.array(b, dtype=float)]) == pytest.approx(expected, abs=1e-12)
     assert R.iou([], a) == 0.0
 
 
+def test_overlap_like_counted_points():
+    rng = np.random.default_rng(9)
+    n = 400
+    xs, ys = (np.arange(n) + 0.5) / n, ((np.arange(n) + 0.5) / n)[:, None]
+    for _ in range(15):
+        a, b = ([rng.random((int(rng.integers(3, 7)), 2)) for _ in range(2)] for _ in range(2))
+        one, two = (np.logical_or.reduce([R.inside_even_odd(xs[None, :], ys, p) for p in s]) for s in (a, b))
+        both, either = R.overlap_areas(a, b)
+        assert both == pytest.approx((one & two).mean(), abs=0.01) and either == pytest.approx((one | two).mean(), abs=0.01)
+
+
 def test_representative_point():
     u = np.array([(0, 0), (10, 0), (10, 10), (9, 10), (9, 1), (1, 1), (1, 10), (0, 10)], dtype=float)
     for ring in (u, u[::-1], np.array([(0, 0), (4, 0), (0, 3)], dtype=float)):
