@@ -32,11 +32,11 @@ def _keys(at: int, width: int, k: int, spread: bool) -> Column:
     if spread:
         flip = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i))
         keys = F.concat(keys, F.transform(flip, lambda bit: b.bitwiseXOR(bit)))
-    return F.transform(keys, lambda x: F.struct(F.lit(k).alias("k"), x.alias("block")))
+    return F.transform(keys, lambda x: F.struct(F.call_function("shiftleft", x, F.lit(6)).bitwiseOR(F.lit(k).cast("long")).alias("block")))
 
 
 def _blocks(hashes: DataFrame, limit: int, spread: bool) -> DataFrame:
-    """(h, k, block): the value of each block, with spread also each that differs from it in one bit."""
+    """(h, block): the value and number of each block, with spread also each value that differs from it in one bit."""
     return hashes.select("h", F.inline(F.concat(*[_keys(a, w, k, spread) for k, (a, w) in enumerate(hash_blocks(limit))])))
 
 
@@ -49,7 +49,7 @@ def near_hashes(left: DataFrame, right: DataFrame, limit: int = C.HASH_BITS) ->
     assert 0 <= limit < 64
     few = _blocks(left.where("h is not null").select("h").distinct(), limit, limit > 0).withColumnRenamed("h", "g")
     many = _blocks(right.where("h is not null").select("h").distinct(), limit, False)
-    return few.join(many, ["k", "block"]).where(F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= limit).select("g", "h").distinct()
+    return few.join(many, "block").where(F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= limit).select("g", "h").distinct()
 
 
 def hash_pairs(items: DataFrame, key: str, hash_: str, limit: int = C.HASH_BITS, keep: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
