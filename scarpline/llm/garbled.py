@@ -5,13 +5,15 @@ their kinds (small Latin letters with an accent, Cyrillic capitals, box drawings
 the maximum-scoring segments of improbable pairs are isolated. Only inside them inverse mappings are tried: the characters back to
 bytes by a code page, the bytes to text by UTF-8 or by another code page, as often as it helps. A mapping holds if it leads to
 characters that the corpus knows and to pairs that are more probable by a margin. Systematic damage binds its characters to each other
-more than any clean text does, so mutual information alone would rate it as clean; the joint probability of a pair does not.
+more than any clean text does, so mutual information alone would rate it as clean; the joint probability of a pair does not. Words that
+are built as only damage builds them (suspect()) are left out of the counts, so that a source damaged as a whole does not vouch for itself.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from math import log2
 
 import numpy as np
@@ -38,6 +40,8 @@ _WITH_BLANK = {"cp1252", "latin-1", "cp1250", "iso8859-2", "cp1254", "iso8859-15
 CAPITALS = 4.0
 #: Bits that a word must gain once the text's pair of code pages is known.
 GAIN_SURE = 3.0
+#: Where one word outside ASCII in so many is suspect, none of the text's words outside ASCII counts.
+SUSPECT_SHARE = 4
 #: A character is known that stands in the corpus so often.
 KNOWN = 3
 _SMOOTH = 30.0
@@ -72,20 +76,46 @@ def kinds(points: np.ndarray) -> np.ndarray:
 
 
 def pair_counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(pair, n): how often two characters stand next to each other, over all texts; pair is the first code point times 2^21 plus the second."""
+    """(pair, n): how often two characters stand next to each other, over all texts but for suspect words; pair is the first code point times 2^21 plus the second."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, texts in some(b.column(0)):
-                x = np.frombuffer(("\n" + "\n".join(t for t in texts if t) + "\n").encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
-                a, c = x[:-1], x[1:]
-                plain = (a < 128) & (c < 128)
-                ascii_ = np.bincount(a[plain] * 128 + c[plain], minlength=1 << 14)
-                k = np.flatnonzero(ascii_)
-                pair, n = np.unique(a[~plain] << 21 | c[~plain], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[(k // 128) << 21 | k % 128, pair]), pa.array(np.r_[ascii_[k], n].astype(np.int64))], names=["pair", "n"])
-
-    return documents.select(text).where(f"`{text}` is not null").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+                pair, n = count_pairs([t for t in texts if t])
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+
+    return documents.select(text).where(f"`{text}` is not null").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def count_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, counts) of texts as one; a pair may come twice, with a negative count for what suspect words take away."""
+    whole = "\n" + "\n".join(texts) + "\n"
+    x = _points(whole)
+    a, c = x[:-1], x[1:]
+    plain = (a < 128) & (c < 128)
+    ascii_ = np.bincount(a[plain] * 128 + c[plain], minlength=1 << 14)
+    k = np.flatnonzero(ascii_)
+    pair, n = np.unique(a[~plain] << 21 | c[~plain], return_counts=True)
+    out = [np.r_[(k // 128) << 21 | k % 128, pair]], [np.r_[ascii_[k], n]]
+    spans, first = [], 1
+    for t in texts:
+        if not t.isascii():
+            words = [(first + m.start(), first + m.end(), suspect(m[0])) for m in _SOLID.finditer(t)]
+            damaged = SUSPECT_SHARE * sum(w[2] for w in words) >= len(words)
+            spans += [w[:2] for w in words if damaged or w[2]]
+        first += len(t) + 1
+    if spans:  # each pair inside such a word and at its ends
+        begin, end = np.array(spans).T
+        size = end - begin + 1
+        at = np.repeat(begin - 1 - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        pair, n = np.unique(x[at] << 21 | x[at + 1], return_counts=True)
+        out[0].append(pair)
+        out[1].append(-n)
+    return np.concatenate(out[0]), np.concatenate(out[1]).astype(np.int64)
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
 
 
 class PairModel:
@@ -159,6 +189,11 @@ def breaks(word: str) -> int:
     return n
 
 
+def turned(word: str, new: str) -> bool:
+    """Whether a Cyrillic word in capitals would become one in small letters: then it counts by its small letters, as damage of whole texts fills the counts of capitals."""
+    return word.isupper() and new.islower() and all("\u0400" <= c < "\u0530" for c in word + new if c.isalpha())
+
+
 def segments(scores: list[float]) -> list[tuple[int, int]]:
     """The maximal scoring segments (begin, end), all of them, in one pass (Ruzzo and Tompa)."""
     out: list[tuple[int, int, float, float]] = []
@@ -191,13 +226,64 @@ def _page(codec: str) -> dict[str, int]:
     return out
 
 
+_PAGES = {c: _page(c) for c in {*MISREAD, *(r for r, _ in SWAPPED)}}
+_BACK = {w: {b: c for c, b in _page(w).items()} for w in {w for _, w in SWAPPED}}
+#: Letters and signs that a word must invert into to be suspect.
+_PLAUSIBLE = re.compile("[\x00-\x7f\xa0-\u024f\u0401\u0410-\u044f\u0451\u0900-\u097f\u2010-\u2044\u20ac\u2122]+")
+_LETTERS = re.compile("[\xc0-\xd6\xd8-\xf6\xf8-\u024fA-Za-z\u0401\u0410-\u044f\u0451]+")
+_RUSSIAN = re.compile("[^A-Za-z\x80-\u0400\u0402-\u040f\u0450\u0452-\u2000]*")
+_HIGH = re.compile("[^\x00-\x7f]+")
+#: So many letters, all outside ASCII, make a word in Latin letters suspect.
+ACCENTED = 5
+
+
+def _inverse(word: str, pair: tuple[str, str]) -> str | None:
+    """word read back by one pair of code pages, if all of it can be."""
+    page, back = _PAGES[pair[0]], _BACK[pair[1]]
+    try:
+        return word.translate({ord(c): back[page[c]] for c in word if c > "\x7f"})
+    except KeyError:
+        return None
+
+
+@lru_cache(100_000)
+def suspect(word: str) -> bool:
+    """Whether a word is built as only damage builds it, whatever the corpus says: runs that are UTF-8 as a whole, led by a letter and with
+    a sign among them; ACCENTED letters without an ASCII one that a code page maps into Russian; letters that change script or case, or
+    are parted by a sign, where a pair of code pages gives a word with fewer such places.
+    """
+    runs = [r for r in _HIGH.findall(word) if len(r) > 1 and r[0].isalpha() and not r.isalpha()]
+    for r in runs:
+        for codec in MISREAD:
+            if codec not in LETTERED:
+                try:
+                    new = bytes(_PAGES[codec][c] for c in r).decode()
+                except (KeyError, UnicodeDecodeError):
+                    continue
+                if _PLAUSIBLE.fullmatch(new):
+                    return True
+    n = breaks(word.replace("’", "'"))  # the apostrophe of print parts letters in clean text
+    letters = [c for c in word if c.isalpha()]
+    foreign = len(letters) >= ACCENTED and all("\xc0" <= c < "\u0250" for c in letters)
+    if not n and not foreign:
+        return False
+    for pair in SWAPPED:
+        new = _inverse(word, pair)
+        if new is None or new == word:
+            continue
+        if foreign and pair[1] in _CYRILLIC and _RUSSIAN.fullmatch(new) and breaks(new) <= n:
+            return True
+        if n and breaks(new) < n and all(_LETTERS.fullmatch(new[k]) for k, c in enumerate(word) if c > "\x7f" and c.isalpha()) and _PLAUSIBLE.fullmatch(new):
+            return True
+    return False
+
+
 class Mender:
     """Finds and undoes damage in words; remembers the words it saw."""
 
     def __init__(self, model: PairModel) -> None:
         self.model = model
-        self.pages = {c: _page(c) for c in {*MISREAD, *(r for r, _ in SWAPPED)}}
-        self.back = {w: {b: c for c, b in _page(w).items()} for w in {w for _, w in SWAPPED}}
+        self.pages = _PAGES
         prefix = {}
         for c, n in model.seen.items():
             if c > 127 and n >= KNOWN and not 0xD800 <= c < 0xE000:
@@ -331,18 +417,13 @@ class Mender:
 
     def _swap(self, w: str, pair: tuple[str, str]) -> tuple[float, str] | None:
         """(gain, word) of undoing one pair of code pages in a word, if that gives known characters."""
-        page, back = self.pages[pair[0]], self.back[pair[1]]
-        special = [c for c in w if c > "\x7f"]
-        try:
-            table = {ord(c): back[page[c]] for c in special}
-        except KeyError:
-            return None
-        new = w.translate(table)
-        if new == w or not all(c < "\x80" or self.model.known(c) for c in new) or breaks(new) > breaks(w):
+        new = _inverse(w, pair)
+        if new is None or new == w or not all(c < "\x80" or self.model.known(c) for c in new) or breaks(new) > breaks(w):
             return None
-        gain = self.model.cost_of(w) - self.model.cost_of(new)
+        before = sum(self.model.costs(w.lower())) + CAPITALS if turned(w, new) else self.model.cost_of(w)
+        gain = before - self.model.cost_of(new)
         kind = self.model.kind_of
-        if [kind(ord(c)) for c in special] == [kind(ord(table[ord(c)])) for c in special]:
+        if all(kind(ord(c)) == kind(ord(d)) for c, d in zip(w, new) if c > "\x7f"):
             gain /= 2  # one accent for another: rare names do that too
         return gain, new
 
@@ -355,7 +436,7 @@ class Mender:
             self.gains.clear()
         out, tried = [], set()
         high = [c for c, (a, b) in zip(self.model.costs(w), zip(" " + w, w + " ")) if a > "\x7f" or b > "\x7f"]
-        if max(high) >= self.model.rare:
+        if max(high) >= self.model.rare or suspect(w) or (w.isupper() and "\u0400" <= min(c for c in w if c.isalpha()) and len(w) >= 4):
             for pair in SWAPPED:
                 hit = self._swap(w, pair)
                 if hit and hit[0] >= GAIN_SWAP and (hit[1], pair[1]) not in tried:

@@ -98,6 +98,17 @@ def test_garbled_round_trip(spark):
     assert G.garbled(d.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("clean, written, read", [(5, "cp1251", "cp1252"), (5, "koi8-r", "cp1251"), (3, "cp1252", "mac_roman"), (0, "utf-8", "latin-1")])
+def test_a_source_damaged_as_a_whole(clean, written, read):
+    texts = [t for t in CLEAN for _ in range(40)]
+    bad = damaged(CLEAN[clean].replace("\u201c", "").replace("\u201d", ""), written, read)
+    pairs, n = G.count_pairs(texts + [bad] * (len(texts) // 2))
+    keys, back = np.unique(pairs, return_inverse=True)
+    m = G.Mender(G.PairModel(keys, np.bincount(back, n).astype(np.int64)))
+    assert m.text(bad)[0] == CLEAN[clean].replace("\u201c", "").replace("\u201d", "")
+    assert [t for t in CLEAN if m.text(t)] == []
+
+
 def test_segments():
     assert G.segments([]) == [] and G.segments([-1, -2]) == []
     assert G.segments([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1), (2, 3), (4, 11)]
