@@ -27,6 +27,8 @@ HOT_BLOCKS = 5_000
 #: Up to so many regions are sent to every task; more are joined by one-degree cells.
 SENT_REGIONS = 5_000
 _PAIRS = 4_000_000
+#: From so many points of a block and part on they are handled in lots, cut between ids.
+LOT = 100_000
 
 _SHAPES = "block long, kind int, id long, a double, b double, c double, d double, e double, f double"
 
@@ -265,9 +267,10 @@ def points_near(
         known = []
         inside = _inside_by_degree(p, regions.select(F.col(region_name).alias("name"), F.col(bbox).alias("box")))
     boxes = _Boxes([n for n, _ in known], [b for _, b in known])
+    lot = LOT
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come ordered by block, part and kind: shapes before points. Only the shapes of the last block stay."""
+        """Rows come ordered by block, part, kind and id: shapes before points. Only the shapes of the last block and the points of its last id stay."""
 
         def found(t: pa.Table) -> pa.RecordBatch:
             key = np.stack([t.column(c).to_numpy() for c in ("block", "part")], 1)
@@ -293,7 +296,7 @@ def points_near(
             if not len(b):
                 continue
             t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            if len(t) < 100_000:
+            if len(t) < lot:
                 rest = t
                 continue
             block, part = t.column("block").to_numpy(), t.column("part").to_numpy()
@@ -302,13 +305,18 @@ def points_near(
             if last:
                 yield found(t.slice(0, last))
             shapes_only = int((rest.column("kind").to_numpy() < 2).sum())
-            if len(rest) - shapes_only > 100_000:
-                yield found(rest)
-                rest = rest.slice(0, shapes_only)
+            if len(rest) - shapes_only > lot:
+                ids = rest.column("id").to_numpy()[shapes_only:]
+                cut = shapes_only + int(np.searchsorted(ids, ids[-1], "left"))
+                if cut > shapes_only:
+                    yield found(rest.slice(0, cut))
+                last_id = rest.slice(cut)  # its repeats may go on in the next batch
+                _, once = np.unique(np.stack([last_id.column(c).to_numpy() for c in "ab"], 1), axis=0, return_index=True)
+                rest = pa.concat_tables([rest.slice(0, shapes_only), last_id.take(pa.array(np.sort(once)))])
         if rest is not None and len(rest):
             yield found(rest)
 
-    met = every.repartition("block", "part").sortWithinPartitions("block", "part", "kind").mapInArrow(locate, "id long, relation string, target string")
+    met = every.repartition("block", "part").sortWithinPartitions("block", "part", "kind", "id").mapInArrow(locate, "id long, relation string, target string")
     if inside is not None:
         met = met.unionByName(inside)
     return met.select(F.col("id").alias(point_id), "relation", "target")

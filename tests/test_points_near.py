@@ -98,3 +98,17 @@ def test_empty_tables(spark):
     assert run(spark, [], shapes, AREAS) == set()
     assert run(spark, points, [], AREAS) == brute(points, [], AREAS)
     assert run(spark, points, shapes, []) == brute(points, shapes, [])
+
+
+def test_repeated_points_in_several_lots(spark, monkeypatch):
+    monkeypatch.setattr(N, "LOT", 300)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "100")
+    try:
+        once = [(k, 28.0 + k % 7 * 1e-6, 85.0) for k in range(200)]
+        points = once * 10 + [(900, 28.0, 85.0)] * 2000 + [(k, 28.0, 85.0) for k in range(1000, 1100)]
+        shapes, areas = [(1, "POINT (85.0 28.0)"), (2, "LINESTRING (84.9999 28, 85.0001 28)")], [("a", [84.0, 27.0, 86.0, 29.0])]
+        assert run(spark, points, shapes, areas) == brute([*once, (900, 28.0, 85.0), *points[-100:]], shapes, areas)
+    finally:
+        spark.conf.set(size, before)
