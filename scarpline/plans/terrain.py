@@ -196,6 +196,23 @@ def downstream_clip(s, d):
     return w.select("start", "seq", "node", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("distance_km", 6).alias("distance_km"))
 
 
+def _every_start(s, d):
+    return V.forest(s, d)[0].select(F.col("node").alias("start"), F.col("node"))
+
+
+def downstream_walk_all(s, d):
+    """From every node; downstream_walk has the starts of its SQL."""
+    _, edges = V.forest(s, d)
+    return walk(_every_start(s, d), edges, "start", "node", 1e12).select("start", "seq", "node", F.col("dist").alias("dist_m"))
+
+
+def downstream_clip_all(s, d):
+    """From every node; downstream_clip has the starts of its SQL."""
+    nodes, edges = V.forest(s, d)
+    w = H.downstream(_every_start(s, d), nodes, edges, "start", "node", 0.25)
+    return w.select("start", "seq", "node", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("distance_km", 6).alias("distance_km"))
+
+
 def dag_check(s, d):
     _, edges = V.forest(s, d)
     ok = is_acyclic(edges)
@@ -239,7 +256,7 @@ def ground_resolution(s, d):
 _NAMES = (
     "scar_assessment scar_verdict_counts relief_cap_effect lookup_assessment confidence_ladder ndwi_pixels ndwi_chip_stats ndwi_heat percentile_stretch finite_stretch reflectance_bands "
     "mask_audit mask_flagged_ratio mask_components water_polygons mask_labels flood_detections image_hashes polygon_area polygon_overlap stub_detection_area label_text label_parse "
-    "local_relief_grid d8_direction flow_accumulation channel_graph channel_summary filled_drainage fill_depressions downstream_walk downstream_clip dag_check nearest_channel channel_distance_km "
+    "local_relief_grid d8_direction flow_accumulation channel_graph channel_summary filled_drainage fill_depressions downstream_walk downstream_clip downstream_walk_all downstream_clip_all dag_check nearest_channel channel_distance_km "
     "cell_geometry utm_round_trip ground_resolution"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -315,3 +332,4 @@ round(CASE WHEN dist <= 250 THEN dist / 1000 ELSE 0.25 END, 6) AS distance_km FR
 SELECT name, round(0.0003::DOUBLE * 111320 * cos(radians(f - 0.00025::DOUBLE * 3600 / 2)), 6) AS x_m, round(0.00025::DOUBLE * 111320, 6) AS y_m, round(0.0003::DOUBLE * 111320 * cos(radians(f - 0.00025::DOUBLE * 3600 / 2)) * (0.00025::DOUBLE * 111320) / 1e6, 6) AS area_km2,
 round(0.0003::DOUBLE * 20.5 + c, 6) AS px, round(f - 0.00025::DOUBLE * 10.5, 6) AS py, 20 AS row, 20 AS col FROM t""",
 }
+SQL |= {f"{n}_all": SQL[n].replace(" WHERE node % 50 = 7", "") for n in ("downstream_walk", "downstream_clip")}

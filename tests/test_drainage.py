@@ -96,3 +96,31 @@ def test_lookup_terrain(spark):
     assert (got["out"].local_relief_m, got["out"].local_relief_is_real) == (500.0, False)
     assert got["in"].distance_to_channel_km == pytest.approx(1.1132)
     assert spark.range(1).select(H.half_window(F.lit(33.396)).alias("h")).first().h == 15
+
+
+def test_walks_start_from_every_node(spark, data):
+    from scarpline.plans import terrain
+    from scarpline.plans import views as V
+
+    nodes, edges = V.forest(spark, data)
+    at = {r.node: (r.lat, r.lon) for r in nodes.collect()}
+    down = {r.src: (r.dst, r.dist) for r in edges.collect()}
+    walked, clipped = set(), set()
+    for start in at:
+        node, seq, dist, cut = start, 0, 0.0, False
+        walked.add((start, 0, node, 0.0))
+        clipped.add((start, 0, node, *at[node], 0.0))
+        while node in down:
+            last, before = node, dist
+            node, seq, dist = down[node][0], seq + 1, dist + down[node][1]
+            walked.add((start, seq, node, dist))
+            if not cut and node in at:
+                f = min(1.0, (250 - before) / (dist - before))
+                cut = dist >= 250
+                clipped.add((start, seq, node if dist <= 250 else None, *(a + f * (b - a) for a, b in zip(at[last], at[node])), min(dist, 250.0) / 1000))
+    got = [tuple(r) for r in terrain.downstream_walk_all(spark, data).collect()]
+    assert len(got) == len(walked) and set(got) == walked and {r[0] for r in got} == set(at)
+    flat = lambda rows: sorted((s, k, -1 if n is None else n, *(round(x, 5) + 0.0 for x in v)) for s, k, n, *v in rows)
+    near = lambda a, b: a[:3] == b[:3] and all(abs(x - y) < 2.1e-5 for x, y in zip(a[3:], b[3:]))
+    a, b = flat(clipped), flat(tuple(r) for r in terrain.downstream_clip_all(spark, data).collect())
+    assert len(a) == len(b) and all(map(near, a, b))
