@@ -60,10 +60,10 @@ def locate(points: DataFrame, areas: DataFrame, key: str, lat: str = "lat", lon:
     return points.join(found, key, "left")
 
 
-def location_state(embedded_lat: Column, embedded_area: Column, region: Column, distance_km: Column) -> Column:
-    """none, outside, region_mismatch, point_mismatch (strictly more than 1 km) or confirmed."""
+def location_state(embedded_lat: Column, embedded_lon: Column, embedded_area: Column, region: Column, distance_km: Column) -> Column:
+    """none (a coordinate or both NULL), outside (also out of range), region_mismatch, point_mismatch (strictly more than 1 km) or confirmed."""
     return (
-        F.when(embedded_lat.isNull(), "none")
+        F.when(embedded_lat.isNull() | embedded_lon.isNull(), "none")
         .when(embedded_area.isNull(), "outside")
         .when(embedded_area != region, "region_mismatch")
         .when(distance_km > C.POINT_MISMATCH_KM, "point_mismatch")
@@ -72,11 +72,11 @@ def location_state(embedded_lat: Column, embedded_area: Column, region: Column,
 
 
 def crosscheck(uploads: DataFrame, areas: DataFrame, key: str, distance_km: Column | None = None) -> DataFrame:
-    """uploads (key, embedded_lat, embedded_lon, region, lat, lon) with embedded_area, distance_km and state."""
-    d = distance_km if distance_km is not None else geodesic_m("embedded_lat", "embedded_lon", "lat", "lon") / 1000
+    """uploads (key, embedded_lat, embedded_lon, region, lat, lon) with embedded_area, distance_km and state; no distance is given from or to a latitude beyond the poles."""
+    d = distance_km if distance_km is not None else F.when(F.greatest(F.abs("embedded_lat"), F.abs("lat")) <= 90, geodesic_m("embedded_lat", "embedded_lon", "lat", "lon") / 1000)
     located = locate(uploads, areas, key, "embedded_lat", "embedded_lon").withColumnRenamed("area", "embedded_area")
     located = located.withColumn("distance_km", d)
-    return located.withColumn("state", location_state(F.col("embedded_lat"), F.col("embedded_area"), F.col("region"), F.col("distance_km")))
+    return located.withColumn("state", location_state(F.col("embedded_lat"), F.col("embedded_lon"), F.col("embedded_area"), F.col("region"), F.col("distance_km")))
 
 
 def clamped_input(lat: Column, lon: Column, box: Column) -> Column:

@@ -28,15 +28,25 @@ def study_area_locate(s, d):
     return A.locate(V.lookups(s, d), V.table(s, d, "study_areas"), "lookup_id").select("lookup_id", "area")
 
 
-def location_crosscheck(s, d):
-    t = V.lookups(s, d).select("lookup_id", F.col("lat").alias("embedded_lat"), F.col("lon").alias("embedded_lon"), "region", (F.col("lat") + (F.col("lookup_id") % 4) * 0.004).alias("lat"), F.col("lon").alias("lon"))
-    t = t.where("(embedded_lat is null) = (embedded_lon is null)")
+def _uploads(s, d):
+    return V.lookups(s, d).select("lookup_id", F.col("lat").alias("embedded_lat"), F.col("lon").alias("embedded_lon"), "region", (F.col("lat") + (F.col("lookup_id") % 4) * 0.004).alias("lat"), F.col("lon").alias("lon"))
+
+
+def _crosschecked(s, d, t):
     return A.crosscheck(t, V.table(s, d, "study_areas"), "lookup_id", equirect_km("embedded_lat", "embedded_lon", "lat", "lon")).select("lookup_id", "embedded_area", F.coalesce("state", F.lit("?")).alias("state"))
 
 
+def location_crosscheck(s, d):
+    """Without half coordinates, as its SQL says; location_crosscheck_all has them."""
+    return _crosschecked(s, d, _uploads(s, d).where("(embedded_lat is null) = (embedded_lon is null)"))
+
+
+def location_crosscheck_all(s, d):
+    return _crosschecked(s, d, _uploads(s, d))
+
+
 def location_crosscheck_geodesic(s, d):
-    t = V.lookups(s, d).select("lookup_id", F.col("lat").alias("embedded_lat"), F.col("lon").alias("embedded_lon"), "region", (F.col("lat") + (F.col("lookup_id") % 4) * 0.004).alias("lat"), F.col("lon").alias("lon"))
-    c = A.crosscheck(t.where("abs(embedded_lat) <= 80"), V.table(s, d, "study_areas"), "lookup_id")
+    c = A.crosscheck(_uploads(s, d), V.table(s, d, "study_areas"), "lookup_id")
     return c.groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("distance_km"), 4).alias("mean_km"))
 
 
@@ -140,7 +150,7 @@ def model_configs(s, d):
 
 
 _NAMES = (
-    "study_area_list study_area_sources study_area_locate location_crosscheck location_crosscheck_geodesic input_bounds asset_classify asset_counts clean_names line_reference exposure_topk "
+    "study_area_list study_area_sources study_area_locate location_crosscheck location_crosscheck_all location_crosscheck_geodesic input_bounds asset_classify asset_counts clean_names line_reference exposure_topk "
     "asset_ranking path_cumulative least_cloudy case_stages best_so_far best_epoch largest_per_bucket config_agreement model_configs"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}

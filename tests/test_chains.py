@@ -196,3 +196,27 @@ def test_stream(spark, tmp_path):
         assert q.awaitTermination(120)
     hours = {(str(r.hour), r.verdict): r.scars for r in spark.read.parquet(str(tmp_path / "hours")).collect()}
     assert hours[("2024-01-01 00:00:00", "breach_risk")] == 1
+
+
+def test_crosscheck_leaves_no_lookup_out(spark, data):
+    from scarpline.plans import regions
+    from scarpline.plans import views as V
+
+    n = V.lookups(spark, data).count()
+    half = V.lookups(spark, data).where("(lat is null) <> (lon is null)").select("lookup_id").collect()
+    states = {r.lookup_id: r.state for r in regions.location_crosscheck_all(spark, data).collect()}
+    assert len(states) == n and half and {states[r.lookup_id] for r in half} == {"none"}
+    counts = {r.state: r for r in regions.location_crosscheck_geodesic(spark, data).collect()}
+    assert sum(r.n for r in counts.values()) == n and counts["none"].mean_km is None
+    assert counts["none"].n == sum(s == "none" for s in states.values()) and counts["outside"].n == sum(s == "outside" for s in states.values())
+
+
+def test_crosscheck_of_strange_coordinates(spark):
+    from scarpline.operators.registry import crosscheck
+
+    areas = spark.createDataFrame([("a", [84.0, 27.0, 86.0, 29.0])], "name string, bbox array<double>")
+    rows = [(1, None, None), (2, 28.0, None), (3, None, 85.0), (4, 95.0, 28.0), (5, 85.0, 28.0), (6, 28.0, 85.0)]
+    u = spark.createDataFrame([(k, y, x, "a", y, x) if k < 6 else (k, y, x, "a", y + 0.004, x) for k, y, x in rows], "k int, embedded_lat double, embedded_lon double, region string, lat double, lon double")
+    got = {r.k: r for r in crosscheck(u, areas, "k").collect()}
+    assert [got[k].state for k in range(1, 7)] == ["none"] * 3 + ["outside"] * 2 + ["confirmed"]
+    assert [got[k].distance_km for k in range(1, 5)] == [None] * 4 and abs(got[5].distance_km) < 1e-9 and abs(got[6].distance_km - 0.44327) < 1e-4
