@@ -6,10 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+#: All tables of this process lie in one folder of this name.
+_RUN = uuid.uuid4().hex
+#: Tables written and not released yet, and the folders that are to go when the session's process ends.
+_alive: dict[str, None] = {}
+_ending: set[str] = set()
 
 
 def get_spark(cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -42,24 +49,57 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation.
 
-    Unlike checkpoint(), which runs the last stage twice, this computes each row once and keeps columns prunable.
+    Unlike checkpoint(), which runs the last stage twice, this computes each row once and keeps columns prunable. The table stays until
+    release(), scope() or release_all() deletes it, at the latest until the driver's JVM ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/scarpline/{uuid.uuid4().hex}"
+    run = f"{shared_dir(spark)}/scarpline/{_RUN}"
+    path = f"{run}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _alive[path] = None
+    if run not in _ending:
+        fs, p = _file_system(spark, run)
+        fs.deleteOnExit(p)
+        _ending.add(run)
     out = spark.read.schema(df.schema).parquet(path)
     out._scarpline_path = path
     return out
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        if _alive.pop(path, 0) is None:
+            fs, p = _file_system(spark, path)
+            fs.delete(p, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables of materialize() that no later result reads."""
     for t in tables:
         path = getattr(t, "_scarpline_path", None)
         if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(t.sparkSession, [path])
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes, when it ends, every table written inside it; results that read them must have been written or collected by then."""
+    before = set(_alive)
+    try:
+        yield
+    finally:
+        _delete(spark, [p for p in _alive if p not in before])
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete every table that this process has written."""
+    _delete(spark, list(_alive))

@@ -87,10 +87,52 @@ def test_divided_blocks(spark, monkeypatch):
     assert run(spark, points, shapes, AREAS) == brute(points, shapes, AREAS)
 
 
-def test_many_regions_go_by_degree(spark, monkeypatch):
-    monkeypatch.setattr(N, "SENT_REGIONS", 2)
+def test_coarse_levels(spark, monkeypatch):
+    monkeypatch.setattr(N, "ITEM_BLOCKS", 50)
     points, shapes = scene(4, 60)
-    assert run(spark, points, shapes, AREAS) == brute(points, shapes, AREAS)
+    shapes += [(500, "LINESTRING (84.9 27.9, 85.9 28.9)"), (501, "POLYGON ((84 27, 86 27, 86 29, 84 29, 84 27), (84.99 27.99, 85.005 27.99, 85.005 28.005, 84.99 28.005, 84.99 27.99))")]
+    many = [(f"r{k}", [85.0 - k * 0.001, 28.0 - k * 0.002, 85.0 + k * 0.003, 28.0 + k * 0.001]) for k in range(200)]
+    assert run(spark, points, shapes, AREAS + many) == brute(points, shapes, AREAS + many)
+
+
+def test_boxes_of_any_kind(spark):
+    nan, inf = float("nan"), float("inf")
+    areas = [("wrap", [179.0, -5.0, -179.0, 5.0]), ("nan", [nan, -5.0, 1.0, 5.0]), ("upside", [0.0, 5.0, 1.0, -5.0]), ("spot", [3.0, 3.0, 3.0, 3.0]), ("endless", [-inf, -inf, inf, inf]), ("short", [1.0, 2.0, 3.0]), ("far", [181.0, 0.0, 190.0, 1.0])]
+    points = [(1, 0.0, 185.0), (2, 0.0, 179.5), (3, 0.0, -179.0), (4, 0.0, 178.9), (5, 3.0, 3.0), (6, 0.5, 0.5), (7, 0.0, -200.0), (8, 5.0, 180.0), (9, 5.0000001, 180.0), (10, 95.0, 20.0)]
+    usable = [a for a in areas if a[0] not in ("nan", "short")]
+    assert run(spark, points, [], areas) == brute(points, [], usable)
+
+
+def test_long_edge_in_a_dense_block(spark):
+    rnd = random.Random(7)
+    points = [(k, 28.0 + rnd.uniform(0, 0.01), 85.0 + rnd.uniform(0, 0.01)) for k in range(3000)]
+    shapes = [(1, "LINESTRING (84.5 27.5, 85.5 28.5)"), (2, "LINESTRING (85.005 27.5, 85.005 28.5)"), (3, "LINESTRING (84.5 28.005, 85.5 28.005)")]
+    shapes += [(10 + k, f"POINT ({85 + rnd.uniform(0, 0.01)!r} {28 + rnd.uniform(0, 0.01)!r})") for k in range(50)]
+    assert run(spark, points, shapes, []) == brute(points, shapes, [])
+
+
+def test_many_repeated_points_in_one_block(spark):
+    p = spark.range(300_000).selectExpr("id % 75000 as pid", "28.0 + (id % 75000) % 1000 * 1e-6 as lat", "85.0D as lon")
+    g = spark.createDataFrame([(1, "LINESTRING (84.5 28.0, 85.5 28.0)")], "gid long, geom string")
+    a = spark.createDataFrame([("a", [84.0, 27.0, 86.0, 29.0])], "name string, bbox array<double>")
+    r = N.points_near(p, "pid", "lat", "lon", g, "gid", "geom", a, "name", "bbox")
+    near = sum(75 for k in range(1000) if k * 1e-6 * 111320 <= 60)
+    assert {(x["relation"], x["count"]) for x in r.groupBy("relation").count().collect()} == {("near", near), ("inside", 75_000)}
+    assert r.distinct().count() == r.count()
+
+
+@pytest.mark.parametrize("at_once", [10, 1_000_000])
+def test_trapezoids_are_few_and_cover_the_interior(at_once):
+    import numpy as np
+
+    n = 400
+    ring = [(math.cos(k / n * 6.283185) * (1 + 0.3 * (k % 2)), math.sin(k / n * 6.283185) * (1 + 0.3 * (k % 2))) for k in range(n)]
+    x, y = (np.array([p[k] for p in ring]) for k in (0, 1))
+    who, t = N._trapezoids(np.zeros(n, np.int64), x, y, np.roll(x, -1), np.roll(y, -1), at_once)
+    area = ((t[:, 1] - t[:, 0]) * (t[:, 4] + t[:, 5] - t[:, 2] - t[:, 3]) / 2).sum()
+    assert area == pytest.approx(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum() / 2))
+    if at_once > n:
+        assert len(t) < 3 * n
 
 
 def test_empty_tables(spark):
