@@ -12,13 +12,24 @@ from scarpline.llm.garbled import garbled
 from scarpline.llm.names import near_name_groups, near_names
 from scarpline.llm.overlap import coverage, cross_split_pairs, overlap_report
 from scarpline.llm.packing import pack_texts
-from scarpline.llm.splits import keep_together
+from scarpline.llm.splits import keep_together, torn_apart
+from scarpline.session import materialize
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _splits(spark: SparkSession, sf: str) -> DataFrame:
+    return keep_together(_table(spark, sf, "rebuild_nepal_split"), _table(spark, sf, "dup_groups"))
+
+
+def _torn(spark: SparkSession, sf: str) -> DataFrame:
+    """Has no rows: what must stay together does."""
+    splits = materialize(_splits(spark, sf))
+    return torn_apart(_table(spark, sf, "rebuild_nepal_split"), match_groups(_table(spark, sf, "dup_groups")), splits)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": lambda s, d: match_groups(_table(s, d, "dup_groups")),
     "p3_found": lambda s, d: cross_split_pairs(_table(s, d, "rebuild_nepal_split")),
@@ -26,7 +37,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_coverage": lambda s, d: coverage(_table(s, d, "rebuild_nepal_split")),
     "p4_found": lambda s, d: near_names(_table(s, d, "rebuild_nepal_split")),
     "p4_groups": lambda s, d: near_name_groups(_table(s, d, "rebuild_nepal_split")),
-    "p5_splits": lambda s, d: keep_together(_table(s, d, "rebuild_nepal_split"), _table(s, d, "dup_groups")),
+    "p5_splits": _splits,
+    "p5_sizes": lambda s, d: _splits(s, d).groupBy("new_split").count().withColumnRenamed("count", "items"),
+    "p5_torn": _torn,
     "p6_ids": lambda s, d: token_ids(_table(s, d, "documents")),
     "p7_containers": lambda s, d: pack_texts(_table(s, d, "documents")),
     "p8_found": lambda s, d: garbled(_table(s, d, "documents")).select("doc_id"),
@@ -70,4 +83,8 @@ SELECT p.item_id, p.split, p.dataset, coalesce(names, 0) AS names, coalesce(imag
     "p4_groups": f"""WITH RECURSIVE {_WORDS}, edge AS (SELECT item_a AS a, item_b AS b FROM near UNION SELECT item_b, item_a FROM near),
 reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a)
 SELECT a AS item_id, least(a, min(b)) AS group_id FROM reach GROUP BY a""",
+    "p5_sizes": """WITH n AS (SELECT count(DISTINCT item_id) AS n FROM rebuild_nepal_split), w(new_split, share, k) AS (VALUES ('train', 230, 0), ('validation', 35, 1), ('test', 10, 2)),
+f AS (SELECT new_split, k, n, n * share // 275 AS items, n * share % 275 AS part FROM n, w), r AS (SELECT *, row_number() OVER (ORDER BY part DESC, k) AS nth, n - sum(items) OVER () AS more FROM f)
+SELECT new_split, (items + CASE WHEN nth <= more THEN 1 ELSE 0 END)::BIGINT AS items FROM r""",
+    "p5_torn": "SELECT 'scene' AS kind, source_scene AS entity, count(*) AS splits FROM rebuild_nepal_split WHERE false GROUP BY ALL",
 }

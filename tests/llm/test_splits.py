@@ -4,7 +4,8 @@ from collections import Counter, defaultdict
 import pytest
 
 from scarpline.llm.components import match_groups
-from scarpline.llm.splits import group_splits, keep_together, propagate
+from scarpline.llm import splits
+from scarpline.llm.splits import group_splits, keep_together, place_profiles, propagate
 from tests.llm.test_components import brute
 
 
@@ -21,6 +22,12 @@ def test_propagate(spark):
     assert propagate(d.limit(0)).count() == 0
 
 
+def test_long_chains_take_few_rounds(spark):
+    n = 3000
+    d = spark.range(n).selectExpr("id as record", "explode(array(id, id + 1)) as entity")
+    assert {r.label for r in propagate(d, 20).select("label").distinct().collect()} == {0}
+
+
 def world(spark, seed, n=3000, hot=0.34):
     rnd = random.Random(seed)
     items, pairs = [], []
@@ -70,3 +77,27 @@ def test_small_and_empty(spark):
         n[r.new_split] += 1 + r.group_id % 3
     total = sum(n.values())
     assert all(abs(n[k] - total * s / 275) < 1 for k, s in {"train": 230, "validation": 35, "test": 10}.items())
+
+
+@pytest.mark.parametrize("limits", [(500, 20_000), (2, 20_000), (2, 3)])
+def test_labels_are_spread_alike_with_any_limits(spark, monkeypatch, limits):
+    monkeypatch.setattr(splits, "STRATA", limits[0])
+    monkeypatch.setattr(splits, "PROFILES", limits[1])
+    rnd = random.Random(4)
+    members = [(g, rnd.choice("abcdefgh")) for g in range(3000) for _ in range(1 if g > 400 else rnd.choice((2, 2, 3, 5)))]
+    got = {r.group_id: r.new_split for r in group_splits(spark.createDataFrame(members, "group_id long, label string")).collect()}
+    assert len(got) == 3000
+    n = Counter((x, got[g]) for g, x in members)
+    for k, share in {"train": 230, "validation": 35, "test": 10}.items():
+        assert abs(sum(n[x, k] for x in "abcdefgh") - len(members) * share / 275) < 1
+        for x in "abcdefgh":
+            assert abs(n[x, k] - sum(n[x, s] for s in ("train", "validation", "test")) * share / 275) < (2 if limits[0] > 8 else 30)
+
+
+def test_groups_go_where_they_deviate_least():
+    import numpy as np
+
+    want = np.array([[80.0, 15, 5], [40, 8, 2]])
+    out, have = place_profiles([({0: 2, 1: 1}, 20), ({0: 30}, 1), ({1: 3}, 4)], want)
+    assert [o.sum() for o in out] == [20, 1, 4] and out[1].tolist() == [1, 0, 0]
+    assert (np.abs(have.sum(0) / have.sum() - want.sum(0) / want.sum()) < 0.08).all()
