@@ -1,12 +1,15 @@
 """Text that was read in another encoding than it was written in.
 
-The corpus says how often characters stand next to each other; from the counts of pairs, smoothed by the mutual information of
-their kinds (small Latin letters with an accent, Cyrillic capitals, box drawings and so on), each pair has a probability. In a word
-the maximum-scoring segments of improbable pairs are isolated. Only inside them inverse mappings are tried: the characters back to
-bytes by a code page, the bytes to text by UTF-8 or by another code page, as often as it helps. A mapping holds if it leads to
-characters that the corpus knows and to pairs that are more probable by a margin. Systematic damage binds its characters to each other
-more than any clean text does, so mutual information alone would rate it as clean; the joint probability of a pair does not. Words that
-are built as only damage builds them (suspect()) are left out of the counts, so that a source damaged as a whole does not vouch for itself.
+The corpus says how often characters stand next to each other. Adjacent characters are scored by their mutual information: how much
+more often they stand together than their own counts would have it, smoothed by the kinds of both (small Latin letters with an accent,
+Cyrillic capitals, box drawings and so on). In a word the maximum-scoring segments of pairs with little mutual information are isolated.
+Only inside them inverse mappings are tried: the characters back to bytes by a code page, the bytes to text by UTF-8 or by another code
+page, as often as it helps. A mapping holds if it leads to characters that the corpus knows and to pairs that are more probable by a
+margin. Words that are built as only damage builds them (suspect()) are left out of the counts, so that a source damaged as a whole does
+not vouch for itself.
+
+Only characters of the code pages at hand can come from damage, so pairs of these (a fixed alphabet of some hundreds) are counted one by
+one, all of them; pairs with any other character are counted by the kinds of both and by the character.
 """
 
 from __future__ import annotations
@@ -22,15 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scarpline.llm.encode import some
-from scarpline.session import materialize
 
-#: So many of the most frequent pairs go to every task; a rarer pair counts as the smoothing alone says.
-PAIRS = 300_000
 #: Code pages by which UTF-8 gets misread, likeliest first, and pairs (read as, written in) of single-byte ones.
 MISREAD = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "iso8859-2", "cp1254", "iso8859-15", "cp866", "cp852", "iso8859-5", "mac_cyrillic", "cp1257", "cp1253")
 _LATIN, _CYRILLIC = ("cp1252", "cp1250", "mac_roman", "cp437", "cp850", "iso8859-2", "cp852"), ("cp1251", "koi8-r", "cp866", "iso8859-5", "mac_cyrillic")
 SWAPPED = tuple((r, w) for r in (*_LATIN, *_CYRILLIC, "latin-1") for w in (*_LATIN, *_CYRILLIC) if r != w and not (r == "latin-1" and w == "cp1252"))
-#: Bits: from where on a pair is improbable, by how much a mapping to UTF-8 or to a code page must improve a word, and what all improved words of a text must reach with one pair of code pages.
+#: Bits of mutual information below which a pair is improbable.
+INFORMATION = 4.0
+#: Bits: from where on a pair is rare (twice as many), by how much a mapping to UTF-8 or to a code page must improve a word, and what all improved words of a text must reach with one pair of code pages.
 IMPROBABLE, GAIN_UTF8, GAIN_SWAP, GAIN_TEXT = 9.0, 6.0, 8.0, 18.0
 #: Code pages whose letters stand where UTF-8 has its second bytes: two sequences in a run and this gain are asked for.
 LETTERED, GAIN_LETTERED = {"cp866", "iso8859-5", "mac_cyrillic"}, 20.0
@@ -75,8 +77,12 @@ def kinds(points: np.ndarray) -> np.ndarray:
     return k
 
 
+#: Rows of pair_counts: a pair of the alphabet is its first code point times 2^21 plus its second; kinds of other pairs and their second characters have a mark.
+_OF_KINDS, _OF_SECOND = 1 << 42, 2 << 42
+
+
 def pair_counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(pair, n): how often two characters stand next to each other, over all texts but for suspect words; pair is the first code point times 2^21 plus the second."""
+    """(pair, n): how often two characters stand next to each other, over all texts but for suspect words. At most as many rows as the alphabet has pairs, kinds have pairs and Unicode has characters."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -87,15 +93,22 @@ def pair_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     return documents.select(text).where(f"`{text}` is not null").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0")
 
 
+def _coded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, counts) of pairs of characters."""
+    known = _IN_ALPHABET[np.minimum(a, len(_IN_ALPHABET) - 1)] & _IN_ALPHABET[np.minimum(b, len(_IN_ALPHABET) - 1)]
+    x, y = a[~known], b[~known]
+    return np.unique(np.r_[a[known] << 21 | b[known], _OF_KINDS | kinds(x) * 64 + kinds(y), _OF_SECOND | y], return_counts=True)
+
+
 def count_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, counts) of texts as one; a pair may come twice, with a negative count for what suspect words take away."""
+    """(rows, counts) of texts as one; a row may come twice, with a negative count for what suspect words take away."""
     whole = "\n" + "\n".join(texts) + "\n"
     x = _points(whole)
     a, c = x[:-1], x[1:]
     plain = (a < 128) & (c < 128)
     ascii_ = np.bincount(a[plain] * 128 + c[plain], minlength=1 << 14)
     k = np.flatnonzero(ascii_)
-    pair, n = np.unique(a[~plain] << 21 | c[~plain], return_counts=True)
+    pair, n = _coded(a[~plain], c[~plain])
     out = [np.r_[(k // 128) << 21 | k % 128, pair]], [np.r_[ascii_[k], n]]
     spans, first = [], 1
     for t in texts:
@@ -108,7 +121,7 @@ def count_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         begin, end = np.array(spans).T
         size = end - begin + 1
         at = np.repeat(begin - 1 - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-        pair, n = np.unique(x[at] << 21 | x[at + 1], return_counts=True)
+        pair, n = _coded(x[at], x[at + 1])
         out[0].append(pair)
         out[1].append(-n)
     return np.concatenate(out[0]), np.concatenate(out[1]).astype(np.int64)
@@ -119,22 +132,27 @@ def _points(text: str) -> np.ndarray:
 
 
 class PairModel:
-    """Probabilities of character pairs, as negative logarithms to base 2."""
+    """Probabilities of character pairs, as negative logarithms to base 2, and their mutual information."""
 
-    def __init__(self, pairs: np.ndarray, n: np.ndarray) -> None:
-        self.total = float(n.sum()) or 1.0
+    def __init__(self, rows: np.ndarray, n: np.ndarray) -> None:
+        of_kinds, of_second = rows >> 42 == 1, rows >> 42 == 2
+        pairs, own, size = rows[rows < _OF_KINDS], n[rows < _OF_KINDS], len(_KINDS)
+        self.total = float(own.sum() + n[of_kinds].sum()) or 1.0
         #: From so many bits on a pair is rare: in a small corpus, from where it stands there a few times.
         self.rare = min(2 * IMPROBABLE, log2(self.total) - 1.5)
-        self.count = dict(zip(pairs.tolist(), n.tolist()))
-        a, b = pairs >> 21, pairs & ((1 << 21) - 1)
+        self.count = dict(zip(pairs.tolist(), own.tolist()))
+        a = pairs >> 21
+        b, m = np.r_[pairs & ((1 << 21) - 1), rows[of_second] & ((1 << 21) - 1)], np.r_[own, n[of_second]]
         points, back = np.unique(b, return_inverse=True)
-        self.seen = dict(zip(points.tolist(), np.bincount(back, n).astype(np.int64).tolist())) if len(points) else {}
-        size = len(_KINDS)
-        of_pairs = np.bincount(kinds(a) * size + kinds(b), n, size * size) if len(pairs) else np.zeros(size * size)
+        self.seen = dict(zip(points.tolist(), np.bincount(back, m).astype(np.int64).tolist())) if len(points) else {}
+        of_pairs = np.bincount(kinds(a) * size + kinds(b[: len(a)]), own, size * size) if len(pairs) else np.zeros(size * size)
+        other = rows[of_kinds] & 0xFFFF
+        np.add.at(of_pairs, (other >> 6) * size + (other & 63), n[of_kinds])
         self.of_kinds = ((of_pairs + 0.02) / (self.total + 1)).tolist()
-        self.in_kind = (np.bincount(kinds(b), n, size) + 50.0).tolist() if len(pairs) else [50.0] * size
+        self.in_kind = (np.bincount(kinds(b), m, size) + 50.0).tolist() if len(b) else [50.0] * size
         self.kind: dict[int, int] = {}
         self.bits: dict[int, float] = {}
+        self.shared: dict[int, float] = {}
 
     def kind_of(self, c: int) -> int:
         k = self.kind.get(c)
@@ -143,16 +161,32 @@ class PairModel:
         return k
 
     def cost(self, a: int, b: int) -> float:
-        """Bits of the pair: its own count plus a share by the kinds of both."""
+        """Bits of the pair: its own count plus a share by the kinds of both; outside the alphabet the share alone."""
         key = a << 21 | b
         v = self.bits.get(key)
         if v is None:
             ka, kb = self.kind_of(a), self.kind_of(b)
             share = self.of_kinds[ka * len(_KINDS) + kb] * (self.seen.get(a, 0) + 0.5) / self.in_kind[ka] * (self.seen.get(b, 0) + 0.5) / self.in_kind[kb]
-            v = -log2((self.count.get(key, 0) + _SMOOTH * min(share * self.total, 1.0) / 10 + 0.01) / self.total)
+            if in_alphabet(a) and in_alphabet(b):
+                v = -log2((self.count.get(key, 0) + _SMOOTH * min(share * self.total, 1.0) / 10 + 0.01) / self.total)
+            else:
+                v = -log2(share + 0.01 / self.total)
             self.bits[key] = v
         return v
 
+    def information(self, a: int, b: int) -> float:
+        """Mutual information of two adjacent characters, in bits; of two that no damage makes, more than enough."""
+        key = a << 21 | b
+        v = self.shared.get(key)
+        if v is None:
+            if in_alphabet(a) or in_alphabet(b):
+                alone = -log2((self.seen.get(a, 0) + 0.5) / self.total) - log2((self.seen.get(b, 0) + 0.5) / self.total)
+                v = alone - self.cost(a, b)
+            else:
+                v = 2 * INFORMATION
+            self.shared[key] = v
+        return v
+
     def costs(self, word: str) -> list[float]:
         x = [32, *map(ord, word), 32]
         cost = self.cost
@@ -227,6 +261,15 @@ def _page(codec: str) -> dict[str, int]:
 
 
 _PAGES = {c: _page(c) for c in {*MISREAD, *(r for r, _ in SWAPPED)}}
+_IN_ALPHABET = np.zeros(0x10000, bool)
+_IN_ALPHABET[[*range(128), *(ord(c) for page in _PAGES.values() for c in page), 0xFFFD]] = True
+
+
+def in_alphabet(c: int) -> bool:
+    """Whether damage can make a character: ASCII and what stands in a code page."""
+    return c < 0x10000 and bool(_IN_ALPHABET[c])
+
+
 _BACK = {w: {b: c for c, b in _page(w).items()} for w in {w for _, w in SWAPPED}}
 #: Letters and signs that a word must invert into to be suspect.
 _PLAUSIBLE = re.compile("[\x00-\x7f\xa0-\u024f\u0401\u0410-\u044f\u0451\u0900-\u097f\u2010-\u2044\u20ac\u2122]+")
@@ -369,10 +412,10 @@ class Mender:
         return False
 
     def _runs(self, word: str) -> list[tuple[int, int]]:
-        """Improbable segments, widened to whole runs of characters outside ASCII."""
-        costs = self.model.costs(word)
+        """Segments of little mutual information, widened to whole runs of characters outside ASCII."""
+        x = [32, *map(ord, word), 32]
         out: list[tuple[int, int]] = []
-        for b, e in segments([c - IMPROBABLE for c in costs]):
+        for b, e in segments([INFORMATION - self.model.information(a, c) for a, c in zip(x, x[1:])]):
             b, e = max(b - 1, 0), min(e, len(word))
             while b > 0 and word[b - 1] > "\x7f":
                 b -= 1
@@ -396,7 +439,7 @@ class Mender:
             bad, whole = True, False
         if _CONTROL.search(w):
             bad = True
-        for _ in range(5):
+        while True:  # each turn makes the word shorter
             parts, at, changed = [], 0, False
             for b, e in self._runs(now):
                 if b < at:
@@ -485,10 +528,10 @@ def garbled(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     restored is the text with what could be undone undone, words the number of its different damaged words, complete whether no
     character is lost. NULL, empty and plain ASCII texts are never damaged. Repeated texts are told for each key; texts may be of
-    any length. Pair counts cover all texts; at most PAIRS of them go to the tasks.
+    any length. Pair counts cover all texts; their number is bounded by the alphabet of the code pages and by Unicode.
     """
-    rows = materialize(pair_counts(documents, text)).orderBy(F.desc("n"), "pair").limit(PAIRS).collect()
-    pairs, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
+    rows = pair_counts(documents, text).toArrow()  # bounded, see pair_counts
+    pairs, n = (rows.column(k).to_numpy() for k in (0, 1))
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
