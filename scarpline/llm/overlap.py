@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scarpline.llm.names import ITEM_TEXTS, candidates, exact, roots, sequences
+from scarpline.llm.names import ITEM_TEXTS, candidates, classed, exact, sequences, spread_pairs
 from scarpline.operators.hygiene import near_hashes
 from scarpline.session import materialize
 
@@ -30,11 +30,11 @@ def _in_splits(items: DataFrame) -> DataFrame:
 
 
 def name_overlaps(items: DataFrame) -> DataFrame:
-    """(a, b, shared, total, size_a, size_b), a < b: one item in train, the other in validation or test, and near names; counted in words."""
+    """(a, b, shared, total): one item in train, the other in validation or test, and near names; counted in words. Items of one side with equal words are joined as one."""
     r = _in_splits(items)
-    seqs = sequences(r, "item_id", ITEM_TEXTS, ("training",))
-    found = candidates(roots(seqs, "item_id", ("training",)), F.col("x_training") != F.col("y_training"), ("training",))
-    return exact(found, r, "item_id", ITEM_TEXTS)
+    records, copies = classed(sequences(r, "item_id", ITEM_TEXTS, ("training",)), "item_id", ("training",))
+    found = exact(candidates(records, "training"), r, "item_id", ITEM_TEXTS)
+    return spread_pairs(found.select("a", "b", "shared", "total"), copies)
 
 
 def image_overlaps(items: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def cross_split_pairs(items: DataFrame) -> DataFrame:
     Items whose old_split is NULL, blank or unknown take no part; a NULL phash matches nothing; repeated rows count once.
     """
     by_hash = image_overlaps(items).select(F.least("e", "t").alias("item_a"), F.greatest("e", "t").alias("item_b"))
-    by_name = name_overlaps(items).select(F.col("a").alias("item_a"), F.col("b").alias("item_b"))
+    by_name = name_overlaps(items).select(F.least("a", "b").alias("item_a"), F.greatest("a", "b").alias("item_b"))
     return by_hash.unionByName(by_name).where("item_a <> item_b").distinct()
 
 

@@ -52,19 +52,48 @@ def test_like_brute_force(spark, seed):
     assert len(got) == len(set(got)) and set(got) == brute(rows)
 
 
-def test_hot_roots_are_sharded(spark, monkeypatch):
+@pytest.mark.parametrize("leaf", [2, 16, 1000])
+def test_hot_roots_have_trees(spark, monkeypatch, leaf):
     """All records share their words but for a few, so that each root holds most records."""
     rnd = random.Random(4)
-    rows = [(i, " ".join(rnd.sample([f"c{k}" for k in range(14)], 12)), None) for i in range(400)]
+    rows = [(i, " ".join(rnd.sample([f"c{k}" for k in range(14)], 12)), None) for i in range(300)]
     want = brute(rows)
-    assert len(want) > 1000 and len(want) < 70000
+    assert len(want) > 1000 and len(want) < 40000
     d = frame(spark, rows)
-    s = N.sequences(d, "item_id", N.ITEM_TEXTS)
-    assert N.roots(s, "item_id").groupBy("root").count().where("count > 100").count() > 0
-    monkeypatch.setattr(N.shards, "__defaults__", (8, 16))
+    records, copies = N.classed(N.sequences(d, "item_id", N.ITEM_TEXTS), "item_id")
+    rooted = N.roots(records)
+    assert records.count() == len({words(*r[1:]) for r in rows}) == 300 - copies.count()
+    assert rooted.groupBy("root").count().where("count > 50").count() > 0
+    monkeypatch.setattr(N, "LEAF", leaf)
+    homes, visits = N.grow(rooted)
+    assert homes.count() == rooted.where("short").count()
+    assert leaf == 1000 or homes.select("root", "node").distinct().count() > homes.select("root").distinct().count()
     assert {tuple(r) for r in N.near_names(d).collect()} == want
 
 
+def test_trees_prune(spark):
+    """Records of far families in one root: some half of all visits is spared."""
+    rnd = random.Random(6)
+    rows = []
+    for f in range(12):
+        own = [f"f{f}w{k}" for k in range(40)]
+        rows += [(f * 100 + i, " ".join(["all", *own[: 38 + i % 2], f"x{f}i{i}"]), None) for i in range(20)]
+    seqs = N.sequences(frame(spark, rows), "item_id", N.ITEM_TEXTS)
+    records, _ = N.classed(seqs, "item_id")
+    rooted = N.roots(records.withColumn("head", N.F.array(N.F.lit(7).cast("long"))))
+    homes, visits = N.grow(rooted, 20)
+    leaves = homes.select("root", "node").distinct().count()
+    assert leaves >= 6 and visits.count() < 240 * leaves * 0.6
+    assert {tuple(r) for r in N.near_names(frame(spark, rows)).collect()} == brute(rows)
+
+
+def test_equal_records_are_one_class(spark):
+    rows = [(i, "a b c d e f", None) for i in range(60)] + [(100 + i, "F e d c", "b a g") for i in range(3)] + [(200, "z y", None)]
+    d = frame(spark, rows)
+    assert {tuple(r) for r in N.near_names(d).collect()} == brute(rows)
+    assert {r.item_id: r.group_id for r in N.near_name_groups(d).collect()} == {r[0]: 0 for r in rows[:-1]}
+
+
 def test_empty_and_groups(spark):
     d = frame(spark, items(5))
     assert N.near_names(d.limit(0)).count() == 0 and N.near_name_groups(d.limit(0)).count() == 0
