@@ -50,5 +50,5 @@ STUB_CORNERS = ((-1.0, -0.3), (-0.4, -1.0), (0.5, -0.6), (1.0, 0.2), (0.3, 1.0),
 # dataset hygiene
 HASH_BITS = 5
 SPLIT_TARGETS = {"train": 230, "validation": 35, "test": 10}
-AUDIT_SAMPLE, AUDIT_SEED = 30, 20260725
+AUDIT_SAMPLE = 30
 SPLIT_ORDER = ("train", "validation", "test")

@@ -57,3 +57,16 @@ def part_from_end(path: Column | str, k: int) -> Column:
 
 def scar_id(stem_: Column | str, index: Column | str) -> Column:
     return F.concat(_col(stem_), F.lit("-scar"), _col(index).cast("string"))
+
+
+def literal_list(text: Column | str) -> Column:
+    """The numbers of a list or tuple written as program text, as doubles; NULL for anything else."""
+    t = F.trim(_col(text))
+    inner = F.regexp_replace(F.translate(t, "()", "[]"), r",\s*\]", "]")
+    return F.when(t.rlike(r"^[\[(][-+0-9.eE,\s]*[\])]$"), F.from_json(inner, "array<double>"))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """'part/whole (p%)' with one decimal; '0/0 (0.0%)' for nothing of nothing."""
+    share = F.when(whole == 0, 0.0).otherwise(part * 100.0 / whole)
+    return F.format_string("%d/%d (%.1f%%)", part.cast("long"), whole.cast("long"), share)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from scarpline import constants as C
 from scarpline.functions import physics as P
+from scarpline.functions.geodesy import to_utm
+from scarpline.functions.geotext import POINT, RING, read_geometry
 from scarpline.functions.texts import clean_name, poi_kind, road_kind
 
 
@@ -24,6 +29,72 @@ def assets(roads: DataFrame | None = None, pois: DataFrame | None = None) -> Dat
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
+def degree_pieces(assets: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:
+    """(key, lon0, lat0, lon1, lat1): the straight pieces of WKT or GeoJSON geometries; a point is a piece with equal ends. What is NULL, empty or unreadable has none."""
+    kind = assets.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                for part, v in read_geometry(text):
+                    closed = [*v, v[0]] if part == RING and v[0] != v[-1] else v
+                    own = [(*p, *p) for p in v] if part == POINT or len(v) == 1 else [(*p, *q) for p, q in zip(closed, closed[1:])]
+                    at += [k] * len(own)
+                    rows += own
+            cols = [pa.array([r[c] for r in rows], pa.float64()) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols], names=[key, "lon0", "lat0", "lon1", "lat1"])
+
+    return assets.select(key, geometry).where(f"`{geometry}` is not null").mapInArrow(run, f"`{key}` {kind}, lon0 double, lat0 double, lon1 double, lat1 double")
+
+
+def pieces(assets: DataFrame, key: str, crs: Column | str, geometry: str = "geometry", zones: DataFrame | None = None, area: str = "area") -> DataFrame:
+    """(key, ax, ay, bx, by): the straight pieces of each asset in metres of the UTM zone that crs names, for line_reference().
+
+    With zones (area, crs), crs is that column's name and each asset takes the zone of its area; assets without one have no pieces.
+    """
+    d = degree_pieces(assets, key, geometry)
+    if zones is not None:
+        own = assets.select(key, area).distinct().join(zones.select(area, F.col(crs).alias("_crs")), area).select(key, "_crs")
+        d = d.join(own, key)
+        crs = F.col("_crs")
+    d = d.select(key, to_utm("lat0", "lon0", crs).alias("a"), to_utm("lat1", "lon1", crs).alias("b")).where("a is not null and b is not null")
+    return d.select(key, F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"))
+
+
+def representative_points(assets: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:
+    """(key, lat, lon): a point for each geometry: itself, the middle vertex of a line, a place inside a polygon's first ring; unreadable ones have none."""
+    from scarpline.operators.raster import representative_point
+
+    kind = assets.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for b in batches:
+            at, out = [], []
+            for k, text in enumerate(b.column(1).to_pylist()):
+                parts = read_geometry(text)
+                if parts:
+                    part, v = parts[0]
+                    ring = v[:-1] if len(v) > 1 and v[0] == v[-1] else v
+                    x, y = representative_point(np.array(ring, dtype=float)) if part == RING else v[0] if part == POINT else v[len(v) // 2]
+                    at.append(k)
+                    out.append((float(y), (float(x) + 180.0) % 360.0 - 180.0 if abs(x) > 180 else float(x)))
+            cols = [pa.array([r[c] for r in out], pa.float64()) for c in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *cols], names=[key, "lat", "lon"])
+
+    return assets.select(key, geometry).where(f"`{geometry}` is not null").mapInArrow(run, f"`{key}` {kind}, lat double, lon double")
+
+
+def clipped(assets: DataFrame, areas: DataFrame, key: str, geometry: str = "geometry") -> DataFrame:
+    """assets (key, area, geometry) with a vertex in the box of their own area (name, bbox), edges included."""
+    box = areas.select(F.col("name").alias("area"), F.col("bbox").alias("_box"))
+    d = degree_pieces(assets, key, geometry).join(assets.select(key, "area").distinct(), key).join(box, "area")
+    at = lambda x, y: F.col(x).between(F.col("_box")[0], F.col("_box")[2]) & F.col(y).between(F.col("_box")[1], F.col("_box")[3])
+    return assets.join(d.where(at("lon0", "lat0") | at("lon1", "lat1")).select(key).distinct(), key, "left_semi")
+
+
 def segments(path: DataFrame, key: str) -> DataFrame:
     """(key, x0, y0, x1, y1, start_m) of a path (key, seq, x, y): its pieces and how far along each begins. A path of one point has none."""
     w = W.partitionBy(key).orderBy("seq")

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scarpline import constants as C
-from scarpline.functions.geodesy import equirect_km
+from scarpline.functions.geodesy import cell_size, equirect_km, pixel_centre
 from scarpline.operators.graph import walk
-from scarpline.session import materialize
+from scarpline.session import materialize, release
 
 #: Side of a tile, in cells, of the operators that need neighbours only.
 TILE = 256
@@ -186,22 +186,46 @@ def channel_edges(nodes: DataFrame, area: str = "area", size_x: float = 1.0, siz
     return steps.join(goal, [area, "to_row", "to_col"]).select(area, "row", "col", "to_row", "to_col", "distance_m")
 
 
+def drainage_graph(dem: DataFrame, grids: DataFrame, area: str = "area", threshold: int = C.CHANNEL_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of raw elevation grids: dem (area, row, col, elev), grids (area, transform ARRAY<DOUBLE>, height) in degrees.
+
+    nodes (area, node, row, col, lat, lon, direction, accumulation, upstream_area_km2) are the cells with more than threshold cells
+    upstream; edges (area, src, dst, dist) in metres go from each to the next on its way down, where that is a node too. node is
+    'area:row:col'. An area without a grid has none. Every way ends, as directions lead down or to the way out of a flat.
+    """
+    full = channel_nodes(drained(dem, area), threshold)
+    at = full.join(grids.select(area, "transform", cell_size("transform", "height").alias("_cell")), area)
+    name = lambda r, c: F.concat_ws(":", F.col(area).cast("string"), r, c)
+    nodes = at.select(
+        area, name("row", "col").alias("node"), "row", "col", pixel_centre("transform", "row", "col").alias("_p"), "direction", "accumulation",
+        (F.col("accumulation") * F.col("_cell.area_km2")).alias("upstream_area_km2"), F.col("_cell.x_m").alias("x_m"), F.col("_cell.y_m").alias("y_m"),
+    )
+    nodes = materialize(nodes.select(area, "node", "row", "col", F.col("_p.y").alias("lat"), F.col("_p.x").alias("lon"), "direction", "accumulation", "upstream_area_km2", "x_m", "y_m"))
+    edges = channel_edges(nodes, area, F.col("x_m"), F.col("y_m"))
+    edges = edges.select(area, name("row", "col").alias("src"), name("to_row", "to_col").alias("dst"), F.col("distance_m").alias("dist"))
+    return nodes.drop("x_m", "y_m"), edges
+
+
 def graph_summary(nodes: DataFrame, edges: DataFrame, area: str = "area") -> DataFrame:
-    """(area, n_nodes, n_edges, max_upstream) for each area with nodes."""
-    n = nodes.groupBy(area).agg(F.count(F.lit(1)).alias("n_nodes"), F.max("accumulation").alias("max_upstream"))
+    """(area, n_nodes, n_edges, max_upstream_area_km2) for each area with nodes."""
+    n = nodes.groupBy(area).agg(F.count(F.lit(1)).alias("n_nodes"), F.max("upstream_area_km2").alias("max_upstream_area_km2"))
     e = edges.groupBy(area).agg(F.count(F.lit(1)).alias("n_edges"))
-    return n.join(e, area, "left").select(area, "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "max_upstream")
+    return n.join(e, area, "left").select(area, "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "max_upstream_area_km2")
 
 
 #: Up to so many nodes every point is held against all of them; with more, cells are used.
 SENT_NODES = 2_000
+#: A wide cell is looked at by its PARTS x PARTS parts first, each by one of its nodes.
+PARTS = 16
 
 
-def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str, area: str | None = None, cell: float | None = None, max_rounds: int = 16) -> DataFrame:
+def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str, area: str | None = None, cell: float | None = None, max_rounds: int = 40) -> DataFrame:
     """(key, node, d2): for each point (key, lat, lon) the node (node, lat, lon) nearest in degrees, the smallest of equal ones.
 
     Points and nodes meet in cells and their neighbours, by default of such a size that two nodes are in one on average; a point whose
-    nearest lies farther away than a cell goes on with cells four times as wide. area, if given, must agree; a point of an area without nodes has no row. Points with a NULL coordinate and nodes with one take no part.
+    nearest lies farther away than a cell goes on with cells four times as wide, of which it sees one node for each part and then the nodes
+    of those parts only that may hold a nearer one. area, if given, must agree; a point of an area without nodes has no row, nor has any
+    point where there are no nodes. Points with a NULL coordinate and nodes with one take no part.
     """
     on = [area] if area else []
     p = points.select(key, *on, "lat", "lon").where("lat is not null and lon is not null")
@@ -215,21 +239,39 @@ def nearest(points: DataFrame, nodes: DataFrame, key: str, node: str, area: str
     if cell is None:
         b = n.agg((F.max("_lat") - F.min("_lat")).alias("h"), (F.max("_lon") - F.min("_lon")).alias("w"), F.count(F.lit(1)).alias("n")).first()
         cell = max((2 * max(b["h"], 1e-3) * max(b["w"], 1e-3) / b["n"]) ** 0.5, 1e-4)
-    out, rest = None, p
-    for _ in range(max_rounds):
-        size = cell
-        ring = F.array(*map(F.lit, (-1, 0, 1)))
-        q = rest.withColumn("_i", F.floor(F.col("lat") / size)).withColumn("_j", F.floor(F.col("lon") / size))
-        q = q.withColumn("_di", F.explode(ring)).withColumn("_dj", F.explode(ring)).withColumn("_i", F.col("_i") + F.col("_di")).withColumn("_j", F.col("_j") + F.col("_dj"))
-        m = n.withColumn("_i", F.floor(F.col("_lat") / size)).withColumn("_j", F.floor(F.col("_lon") / size))
-        got = q.join(m, [*on, "_i", "_j"]).groupBy(key).agg(best).select(key, F.col("b.node").alias(node), F.col("b.d2").alias("d2"))
+    at = lambda c, size: F.floor(F.col(c) / size)
+    ring = F.array(*map(F.lit, (-1, 0, 1)))
+    out, rest = [], p.join(n.select(*on).distinct(), on, "left_semi") if on else p
+    for k in range(max_rounds):
+        size, part = cell, cell / PARTS
+        q = rest.withColumn("_di", F.explode(ring)).withColumn("_dj", F.explode(ring)).withColumn("_i", at("lat", size) + F.col("_di")).withColumn("_j", at("lon", size) + F.col("_dj"))
+        if k == 0:
+            m = n.withColumn("_i", at("_lat", size)).withColumn("_j", at("_lon", size))
+            met = q.join(m, [*on, "_i", "_j"])
+        else:
+            parts = n.withColumn("_pi", at("_lat", part)).withColumn("_pj", at("_lon", part)).groupBy(*on, "_pi", "_pj").agg(F.min(F.struct("_lat", "_lon")).alias("one"))
+            parts = parts.select(*on, "_pi", "_pj", "one._lat", "one._lon", F.floor(F.col("_pi") / PARTS).alias("_i"), F.floor(F.col("_pj") / PARTS).alias("_j"))
+            off = lambda c, i: F.greatest(F.col(i) * part - F.col(c), F.col(c) - (F.col(i) + 1) * part, F.lit(0.0))  # noqa: B023, E731
+            least = (off("lat", "_pi") * off("lat", "_pi") + off("lon", "_pj") * off("lon", "_pj")) * (1 - 1e-12)
+            seen = q.join(parts, [*on, "_i", "_j"]).groupBy(key, *on, "lat", "lon").agg(F.min(d2).alias("_most"), F.collect_list(F.struct(least.alias("least"), "_pi", "_pj")).alias("_parts"))  # at most 9 x PARTS x PARTS
+            some = seen.select(key, *on, "lat", "lon", F.inline(F.filter("_parts", lambda x: x["least"] <= F.col("_most"))))
+            met = some.join(n.withColumn("_pi", at("_lat", part)).withColumn("_pj", at("_lon", part)), [*on, "_pi", "_pj"])
+        got = met.groupBy(key).agg(best).select(key, F.col("b.node").alias(node), F.col("b.d2").alias("d2"))
         got = materialize(got.where(F.col("d2") <= size * size))
-        out = got if out is None else out.unionByName(got)
-        rest = materialize(rest.join(got.select(key), key, "left_anti"))
+        out.append(got)
+        left = materialize(rest.join(got.select(key), key, "left_anti"))
+        release(rest)
+        rest = left
         cell *= 4
         if rest.isEmpty():
+            release(rest)
             break
-    return out
+    else:
+        raise RuntimeError(f"no end after {max_rounds} rounds")
+    found = out[0]
+    for got in out[1:]:
+        found = found.unionByName(got)
+    return found
 
 
 def channel_distance_km(points: DataFrame, nodes: DataFrame, key: str, node: str, area: str | None = None) -> DataFrame:
@@ -271,6 +313,37 @@ def local_relief(points: DataFrame, dem: DataFrame, key: str, half: int | Column
     return p.join(d, [area, "_tr", "_tc"]).where(near).groupBy(key).agg((F.max("elev") - F.min("elev")).alias("relief"))
 
 
+def rows_and_cols(points: DataFrame, grids: DataFrame, area: str = "area") -> DataFrame:
+    """points (area, lat, lon) with row, col in their area's grid (area, transform, width, height) and half, half a relief window in its pixels; NULL outside of it."""
+    from scarpline.functions.geodesy import pixel_of
+
+    g = grids.select(area, F.col("transform").alias("_t"), F.col("width").alias("_w"), F.col("height").alias("_h"))
+    j = points.join(g, area, "left").withColumn("_p", pixel_of("_t", "lon", "lat"))
+    ok = F.col("_p.row").between(0, F.col("_h") - 1) & F.col("_p.col").between(0, F.col("_w") - 1)
+    half = half_window(F.abs(F.col("_t")[0]) * C.METRES_PER_DEG)
+    return j.select(*points.columns, F.when(ok, F.col("_p.row")).alias("row"), F.when(ok, F.col("_p.col")).alias("col"), F.when(ok, half).alias("half"))
+
+
+def channel_masks(nodes: DataFrame, grids: DataFrame, area: str = "area") -> DataFrame:
+    """(area, tiff): for each grid (area, transform, width, height) a GeoTIFF of bytes, 1 where a node (area, row, col) is, else 0. One area's mask is one task's work."""
+    from scarpline.sources.geotiff import write_geotiff
+
+    kind = grids.schema[area].dataType.simpleString()
+    spots = nodes.groupBy(area).agg(F.collect_list(F.struct("row", "col")).alias("spots"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for w, h, t, s in zip(b["width"], b["height"], b["transform"], b["spots"]):
+                g = np.zeros((1, int(h), int(w)), np.uint8)
+                for x in s if s is not None else []:
+                    g[0, x["row"], x["col"]] = 1
+                out.append(write_geotiff(g, [float(v) for v in t], 4326, compress=True))
+            yield pd.DataFrame({area: b[area], "tiff": out})
+
+    return grids.select(area, "width", "height", "transform").join(spots, area, "left").mapInPandas(run, f"`{area}` {kind}, tiff binary")
+
+
 def lookup_terrain(points: DataFrame, nodes: DataFrame, dem: DataFrame, areas: DataFrame, key: str, node: str, half: int | Column) -> DataFrame:
     """points (key, area, lat, lon, row, col) with nearest node, its upstream_area_km2, distance and relief (or the area's fallback, marked as not real)."""
     where = channel_distance_km(points, nodes, key, node, "area")

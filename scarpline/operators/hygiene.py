@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from scarpline import constants as C
 from scarpline.operators.graph import linked_groups
+from scarpline.session import materialize
 
 
 def paired(images: DataFrame, masks: DataFrame, image_key: Column, mask_key: Column, by: list[str] | None = None) -> DataFrame:
@@ -40,8 +41,8 @@ def _blocks(hashes: DataFrame, limit: int, spread: bool) -> DataFrame:
     return hashes.select("h", F.inline(F.concat(*[_keys(a, w, k, spread) for k, (a, w) in enumerate(hash_blocks(limit))])))
 
 
-def near_hashes(left: DataFrame, right: DataFrame, limit: int = C.HASH_BITS) -> DataFrame:
-    """(g, h): the pairs of a hash of left and one of right (columns h, BIGINT, NULLs left out) that differ in at most limit bits.
+def near_hashes(left: DataFrame, right: DataFrame, limit: int = C.HASH_BITS, ordered: bool = False) -> DataFrame:
+    """(g, h): the pairs of a hash of left and one of right (columns h, BIGINT, NULLs left out) that differ in at most limit bits; ordered: those with g <= h only.
 
     Repeated hashes count once. Each hash of left looks its blocks up with up to one bit changed, so that rows grow as the tables and
     not as their product; the smaller table is better left.
@@ -49,21 +50,23 @@ def near_hashes(left: DataFrame, right: DataFrame, limit: int = C.HASH_BITS) ->
     assert 0 <= limit < 64
     few = _blocks(left.where("h is not null").select("h").distinct(), limit, limit > 0).withColumnRenamed("h", "g")
     many = _blocks(right.where("h is not null").select("h").distinct(), limit, False)
-    return few.join(many, "block").where(F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= limit).select("g", "h").distinct()
+    near = F.bit_count(F.col("g").bitwiseXOR(F.col("h"))) <= limit
+    return few.join(many, "block").where(near & (F.col("g") <= F.col("h")) if ordered else near).select("g", "h").distinct()
 
 
 def hash_pairs(items: DataFrame, key: str, hash_: str, limit: int = C.HASH_BITS, keep: tuple[str, ...] = (), where: Column | None = None) -> DataFrame:
     """(a, b, distance, *a_keep, *b_keep), a < b: items whose hashes differ in at most limit bits; NULL hashes match nothing.
 
-    Different hashes are compared once and spread to their items at the end; where is a condition on a_ and b_ columns of keep.
+    Different hashes are compared once, in one order, and spread to their items at the end; where is a condition on a_ and b_ columns of keep.
     """
     d = items.where(F.col(hash_).isNotNull()).select(key, F.col(hash_).alias("h"), *keep).distinct()
-    close = near_hashes(d, d, limit)
-    side = lambda p, h: d.select(F.col(key).alias(p), F.col("h").alias(h), *[F.col(c).alias(f"{p}_{c}") for c in keep])
-    j = close.join(side("a", "g"), "g").join(side("b", "h"), "h").where(F.col("a") < F.col("b"))
-    if where is not None:
-        j = j.where(where)
-    return j.withColumn("distance", F.bit_count(F.col("g").bitwiseXOR(F.col("h"))).cast("int")).drop("g", "h")
+    close = near_hashes(d, d, limit, ordered=True)
+    side = lambda p, h: d.select(F.struct(F.col(key).alias("id"), *keep).alias(p), F.col("h").alias(h))
+    j = close.join(side("x", "g"), "g").join(side("y", "h"), "h").where((F.col("g") != F.col("h")) | (F.col("x.id") < F.col("y.id")))
+    first = F.col("x.id") < F.col("y.id")
+    j = j.where(F.col("x.id") != F.col("y.id")).select("g", "h", F.when(first, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("y"))
+    j = j.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), *[F.col(f"{s}.{c}").alias(f"{p}_{c}") for s, p in (("x", "a"), ("y", "b")) for c in keep], F.bit_count(F.col("g").bitwiseXOR(F.col("h"))).cast("int").alias("distance"))
+    return j if where is None else j.where(where)
 
 
 def duplicate_groups(pairs: DataFrame, items: DataFrame, key: str) -> DataFrame:
@@ -110,7 +113,12 @@ def greedy_split(groups: DataFrame, targets: dict[str, int] | None = None) -> Da
         table += [(size, k, start, period, names[s]) for k, s in enumerate(chosen)]
     steps = groups.sparkSession.createDataFrame(table, "size long, step int, start int, period int, split string")
     turns = steps.select("size", "start", "period").distinct()
-    ranked = sized.withColumn("n", F.row_number().over(W.partitionBy("size").orderBy("group_id")) - 1).join(turns, "size")
+    # groups are ranked within ranges, so that no task sorts all groups of a size; the table keeps the ranges as they were cut
+    cut = materialize(sized.repartitionByRange("size", "group_id").withColumn("part", F.spark_partition_id()))
+    before = cut.groupBy("size", "part").agg(F.count(F.lit(1)).alias("own"))
+    before = before.select("size", "part", F.coalesce(F.sum("own").over(W.partitionBy("size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    ranked = cut.withColumn("n", F.row_number().over(W.partitionBy("size", "part").orderBy("group_id")) - 1).join(before, ["size", "part"])
+    ranked = ranked.withColumn("n", F.col("n") + F.col("base")).drop("base", "part").join(turns, "size")
     step = F.when(F.col("n") < F.col("start"), F.col("n")).otherwise(F.col("start") + (F.col("n") - F.col("start")) % F.col("period")).cast("int")
     return ranked.withColumn("step", step).join(steps.select("size", "step", "split"), ["size", "step"]).select("group_id", "size", "split")
 
@@ -127,7 +135,33 @@ def stratified_sample(items: DataFrame, key: str, stratum: str, order: Column, t
     q = q.withColumn("_share", F.when(F.col("_last"), 0).otherwise(share))
     q = q.withColumn("_quota", F.when(F.col("_last"), F.least(F.greatest(F.lit(total) - F.sum("_share").over(every), F.lit(0)), F.col("_size"))).otherwise(F.col("_share")))
     n = F.row_number().over(W.partitionBy(stratum).orderBy(order, key))
-    return items.join(q.select(stratum, "_quota"), stratum).withColumn("_n", n).where("_n <= _quota").drop("_n", "_quota")
+    first = items.withColumn("_n", n).where(F.col("_n") <= total)  # a fixed number, which each task keeps to before the shuffle
+    return first.join(q.select(stratum, "_quota"), stratum).where("_n <= _quota").drop("_n", "_quota")
+
+
+def sample_each(items: DataFrame, key: str, stratum: str, n: int, seed: int = 0) -> DataFrame:
+    """n items of each stratum, or all where there are fewer: the first by a hash of the key and the seed, which is random but the same in every run."""
+    rank = F.row_number().over(W.partitionBy(stratum).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key))
+    return items.withColumn("_n", rank).where(F.col("_n") <= n).drop("_n")
+
+
+def tagged_union(pools: dict[str, DataFrame], tag: str = "pool") -> DataFrame:
+    """The rows of all pools, one after the other, with the name of their pool; columns that a pool lacks are NULL."""
+    out = None
+    for name, d in pools.items():
+        d = d.withColumn(tag, F.lit(name))
+        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no pools")
+    return out
+
+
+def flattened(by_split: DataFrame, split: str = "split", members: str = "items") -> DataFrame:
+    """(split, item) of one row a split with the array or map of its items; of a map, the keys. An empty split has no rows."""
+    m = F.col(members)
+    if by_split.schema[members].dataType.typeName() == "map":
+        m = F.map_keys(m)
+    return by_split.select(split, F.explode(m).alias("item"))
 
 
 def new_names(items: DataFrame, old_split: str, stem: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -226,51 +227,45 @@ def polygons_of(mask: np.ndarray, value: np.ndarray | None = None, outer_only: b
     return out
 
 
-def _grid(pdf: pd.DataFrame, *columns: str) -> list[np.ndarray]:
-    h, w = int(pdf["row"].max()) + 1, int(pdf["col"].max()) + 1
-    out = []
-    for c in columns:
-        g = np.zeros((h, w))
-        g[pdf["row"].to_numpy(), pdf["col"].to_numpy()] = pdf[c].to_numpy()
-        out.append(g)
-    return out
+DETECTION = "struct<mask_polygon:array<struct<x:double,y:double>>,confidence:double,class:string>"
+_CORNERS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+_DETECTIONS = pa.list_(pa.struct([("mask_polygon", _CORNERS), ("confidence", pa.float64()), ("class", pa.string())]))
 
 
-DETECTION = "struct<mask_polygon:array<struct<x:double,y:double>>,confidence:double,class:string>"
+def per_chip(pixels: DataFrame, key: str, value: Column, name: str, kind: str, arrow: pa.DataType, of: Callable[[np.ndarray], object]) -> DataFrame:
+    """(key, name): of(grid) for each chip of pixels (key, row, col); a chip is packed into one row in the JVM, and Python gets batches of chips."""
+    chips = pixels.select(key, F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), value.cast("double").alias("v"))
+    chips = chips.where("row >= 0 and col >= 0").groupBy(key).agg(F.collect_list(F.struct("row", "col", F.coalesce("v", F.lit(float("nan"))).alias("v"))).alias("p"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ends = np.r_[0, np.cumsum(b.column(1).value_lengths().to_numpy(zero_copy_only=False))]
+            row, col, v = (f.to_numpy(zero_copy_only=False) for f in b.column(1).flatten().flatten())
+            out = []
+            for a, z in zip(ends, ends[1:]):
+                r, c = row[a:z], col[a:z]
+                g = np.zeros((int(r.max()) + 1, int(c.max()) + 1))
+                g[r, c] = v[a:z]
+                out.append(of(g))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, arrow)], names=[key, name])
 
-def component_counts(masks: DataFrame, key: str, value: str = "value", diagonal: bool = False) -> DataFrame:
-    """(key, n_components) of masks (key, row, col, value); a chip is one task's work at a time."""
-    kind = masks.schema[key].dataType.simpleString()
+    return chips.mapInArrow(run, f"`{key}` {pixels.schema[key].dataType.simpleString()}, `{name}` {kind}")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        (g,) = _grid(pdf, value)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n_components": [components(g > C.MASK_ABOVE, diagonal)[1]]})
 
-    return masks.select(key, "row", "col", value).groupBy(key).applyInPandas(run, f"`{key}` {kind}, n_components int")
+def component_counts(masks: DataFrame, key: str, value: str = "value", diagonal: bool = False) -> DataFrame:
+    """(key, n_components) of masks (key, row, col, value); a NULL value is background."""
+    return per_chip(masks, key, F.col(value), "n_components", "int", pa.int32(), lambda g: components(g > C.MASK_ABOVE, diagonal)[1])
 
 
 def water_polygons(pixels: DataFrame, key: str, threshold: float = C.NDWI_THRESHOLD, smallest: float = C.MIN_CONTOUR_AREA_PX) -> DataFrame:
     """(key, detections) of pixels (key, row, col, green, nir): borders of the water and of holes in it, with the mean index inside."""
-    kind = pixels.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        (w,) = _grid(pdf, "w")
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "detections": [polygons_of(w > threshold, w, smallest=smallest)]})
-
-    d = pixels.select(key, "row", "col", B.ndwi("green", "nir").alias("w"))
-    return d.groupBy(key).applyInPandas(run, f"`{key}` {kind}, detections array<{DETECTION}>")
+    return per_chip(pixels, key, B.ndwi("green", "nir"), "detections", f"array<{DETECTION}>", _DETECTIONS, lambda g: polygons_of(g > threshold, g, smallest=smallest))
 
 
 def mask_polygons(masks: DataFrame, key: str, value: str = "value", outer_only: bool = False, smallest: float = C.MIN_CONTOUR_AREA_PX) -> DataFrame:
     """(key, polygons) of masks (key, row, col, value); outer_only leaves the borders of holes out."""
-    kind = masks.schema[key].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        (g,) = _grid(pdf, value)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "polygons": [[p["mask_polygon"] for p in polygons_of(g > C.MASK_ABOVE, None, outer_only, smallest)]]})
-
-    return masks.select(key, "row", "col", value).groupBy(key).applyInPandas(run, f"`{key}` {kind}, polygons array<array<struct<x:double,y:double>>>")
+    of = lambda g: [p["mask_polygon"] for p in polygons_of(g > C.MASK_ABOVE, None, outer_only, smallest)]
+    return per_chip(masks, key, F.col(value), "polygons", "array<array<struct<x:double,y:double>>>", pa.list_(_CORNERS), of)
 
 
 def inside_even_odd(xs: np.ndarray, ys: np.ndarray, ring: np.ndarray) -> np.ndarray:
@@ -363,10 +358,14 @@ def representative_point(ring: np.ndarray) -> tuple[float, float]:
 
 
 def perceptual_hash(gray: np.ndarray) -> int | None:
-    """64 bits: the signs, against their median, of the 8 x 8 lowest frequencies of the image at 32 x 32; NULL for an empty image."""
+    """64 bits: which of the 8 x 8 lowest frequencies of the image at 32 x 32 lie above their median; NULL for an empty image.
+
+    gray has values of 0 to 255. It is made smaller as image libraries do it for bytes: by a Lanczos window of three lobes, first along
+    rows, then along columns, rounded to bytes each time.
+    """
     if gray.ndim != 2 or not gray.size:
         return None
-    small = _resized(_resized(gray.astype(float), 32).T, 32).T
+    small = _resized(_resized(np.clip(np.nan_to_num(gray), 0, 255).round().T, 32).T, 32)
     n = np.arange(32)
     dct = np.cos(np.pi * (2 * n[None, :] + 1) * n[:, None] / 64)
     low = (dct @ small @ dct.T)[:8, :8]
@@ -375,19 +374,23 @@ def perceptual_hash(gray: np.ndarray) -> int | None:
 
 
 def _resized(a: np.ndarray, n: int) -> np.ndarray:
-    """Rows averaged (or repeated) to n by area."""
-    edges = np.linspace(0, a.shape[0], n + 1)
-    total = np.vstack([np.zeros((1, a.shape[1])), np.cumsum(a, 0)])
-    at = lambda e: total[np.floor(e).astype(int)] + (e % 1)[:, None] * a[np.minimum(np.floor(e).astype(int), a.shape[0] - 1)]
-    return (at(edges[1:]) - at(edges[:-1])) / (edges[1:] - edges[:-1])[:, None]
+    """The rows of a as n rows of bytes."""
+    scale = len(a) / n
+    wide = max(scale, 1.0)
+    centre = (np.arange(n) + 0.5) * scale
+    low, high = np.maximum((centre - 3 * wide + 0.5).astype(int), 0), np.minimum((centre + 3 * wide + 0.5).astype(int), len(a))
+    at = np.arange(len(a))[None, :]
+    x = (at + 0.5 - centre[:, None]) / wide
+    weight = np.where((np.abs(x) < 3) & (at >= low[:, None]) & (at < high[:, None]), np.sinc(x) * np.sinc(x / 3), 0.0)
+    return np.clip(np.floor(weight / weight.sum(1, keepdims=True) @ a + 0.5), 0, 255)
 
 
 def perceptual_hashes(pixels: DataFrame, key: str, value: str = "value") -> DataFrame:
-    """(key, phash) of grey images (key, row, col, value)."""
-    kind = pixels.schema[key].dataType.simpleString()
+    """(key, phash) of grey images (key, row, col, value) with values of 0 to 255; a NULL value is black."""
+    return per_chip(pixels, key, F.col(value), "phash", "long", pa.int64(), perceptual_hash)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        (g,) = _grid(pdf, value)
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "phash": pd.array([perceptual_hash(g)], dtype="Int64")})
 
-    return pixels.select(key, "row", "col", value).groupBy(key).applyInPandas(run, f"`{key}` {kind}, phash long")
+def cells(rasters: DataFrame, key: str, band: int = 1, value: str = "elev") -> DataFrame:
+    """(key, row, col, value) of one band (from 1) of rasters (key, width, bands ARRAY<ARRAY<DOUBLE>>); a raster without that band has no cells."""
+    flat = rasters.select(key, "width", F.posexplode(F.get("bands", F.lit(band - 1))).alias("at", value))
+    return flat.select(key, F.floor(F.col("at") / F.col("width")).cast("int").alias("row"), (F.col("at") % F.col("width")).cast("int").alias("col"), value)

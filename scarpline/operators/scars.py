@@ -30,8 +30,8 @@ def scars_of(detections: DataFrame, gsd: Column | float | None = None, name: str
 
 
 def skipped(detections: DataFrame, name: str = "stem") -> DataFrame:
-    """(name, n_skipped): how many detections have no area."""
-    bad = F.filter("detections", lambda d: F.size(d["mask_polygon"]) < 3)
+    """(name, n_skipped): how many detections have no area: fewer than three corners, or all on one line."""
+    bad = F.filter("detections", lambda d: F.coalesce(G.area_px(d["mask_polygon"]), F.lit(0.0)) <= 0)
     return detections.select(name, F.coalesce(F.size(bad), F.lit(0)).alias("n_skipped"))
 
 

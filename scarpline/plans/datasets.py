@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scarpline.functions.texts import after_first_underscore, file_name, part_from_end, stem, without_affix
+from scarpline.functions.texts import after_first_underscore, file_name, literal_list, part_from_end, percent, stem, without_affix
 from scarpline.operators import hygiene as H
 from scarpline.plans import views as V
 
@@ -95,8 +95,35 @@ def split_stats(s, d):
     return H.split_stats(o)
 
 
+def sample_per_split(s, d):
+    i = V.items(s, d).withColumn("split", _split()).where("split is not null")
+    return H.sample_each(i, "item_id", "split", 5).select("split", "item_id")
+
+
+def training_pools(s, d):
+    """Customers and suppliers as two pools of one training set."""
+    c = V.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind"))
+    return H.tagged_union({"customers": c, "suppliers": V.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"))})
+
+
+def flattened_splits(s, d):
+    i = V.items(s, d).withColumn("split", _split()).where("split is not null")
+    return H.flattened(i.groupBy("split").agg(F.collect_list("item_id").alias("items")))
+
+
+def literal_lists(s, d):
+    t = V.table(s, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 4 == 0, "nothing").when(F.col("p_partkey") % 4 == 1, F.format_string("(%d, %d.5,)", "p_size", "p_partkey")).otherwise(F.format_string("[%d, %d.5]", "p_size", "p_partkey")).alias("text"))
+    v = t.select("p_partkey", literal_list("text").alias("v"))
+    return v.select("p_partkey", F.get("v", F.lit(0)).alias("a"), F.get("v", F.lit(1)).alias("b"), F.size("v").alias("n")).withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
+
+
+def skipped_share(s, d):
+    f = failed_hashes(s, d)
+    return f.select("dataset", percent(F.col("skipped"), F.col("items")).alias("skipped"))
+
+
 _NAMES = (
-    "pair_files pair_affixes path_parts near_dup_pairs near_dup_groups dup_group_summary cross_split_leakage cross_dataset_leakage exact_leakage failed_hashes stratified_sample "
+    "sample_per_split training_pools flattened_splits literal_lists skipped_share pair_files pair_affixes path_parts near_dup_pairs near_dup_groups dup_group_summary cross_split_leakage cross_dataset_leakage exact_leakage failed_hashes stratified_sample "
     "greedy_group_split new_names split_stats"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -107,6 +134,11 @@ _GROUPS = f"""WITH RECURSIVE {_PAIRS}, link AS (SELECT a, b FROM pair UNION SELE
 reach(a, b) AS (SELECT item_id, item_id FROM items UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b), grp AS (SELECT a AS item_id, min(b) AS group_id FROM reach GROUP BY a)"""
 _FILE = "regexp_extract({}, '[^/]*$')"
 SQL = {
+    "sample_per_split": f"""WITH {_PART} SELECT split, item_id FROM (SELECT split, item_id, row_number() OVER (PARTITION BY split ORDER BY md5('0:' || item_id), item_id) AS rn FROM parted WHERE split IS NOT NULL) WHERE rn <= 5""",
+    "training_pools": "SELECT c_custkey AS id, c_mktsegment AS kind, 'customers' AS pool FROM customer UNION ALL SELECT s_suppkey, NULL, 'suppliers' FROM supplier",
+    "flattened_splits": f"WITH {_PART} SELECT split, item_id AS item FROM parted WHERE split IS NOT NULL",
+    "literal_lists": "SELECT p_partkey, CASE WHEN p_partkey % 4 <> 0 THEN p_size::DOUBLE END AS a, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey + 0.5::DOUBLE END AS b, CASE WHEN p_partkey % 4 <> 0 THEN 2 END AS n FROM part",
+    "skipped_share": f"WITH {V.ITEMS} SELECT dataset, printf('%d/%d (%.1f%%)', count(*) FILTER (WHERE phash IS NULL), count(*), count(*) FILTER (WHERE phash IS NULL) * 100.0 / count(*)) AS skipped FROM items GROUP BY dataset",
     "pair_files": f"""WITH {V.ITEMS}, f AS (SELECT *, regexp_extract({_FILE.format('img_path')}, '^[^_]*_(.*)$', 1) AS ik, contains({_FILE.format('img_path')}, '_') AS i_ok, regexp_extract({_FILE.format('mask_path')}, '^[^_]*_(.*)$', 1) AS mk, contains({_FILE.format('mask_path')}, '_') AS m_ok FROM items)
 SELECT i.item_id, i.img_path AS path, m.mask_path FROM f i JOIN f m ON i.dataset = m.dataset AND i.ik = m.mk AND i.i_ok AND m.m_ok""",
     "pair_affixes": "SELECT 'raw/b_' || o_orderkey || '.tiff' AS path, 'raw/' || o_orderkey || '_mask.png' AS mask_path FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 2 = 0",

@@ -11,7 +11,9 @@ from scarpline.functions.texts import clean_name, poi_kind, road_kind
 from scarpline.operators import catalog as K
 from scarpline.operators import exposure as X
 from scarpline.operators import registry as A
+from scarpline.operators.pipelines import propagate_exposure
 from scarpline.plans import views as V
+from scarpline.plans.terrain import utm_sql
 
 
 def study_area_list(s, d):
@@ -32,17 +34,9 @@ def _uploads(s, d):
     return V.lookups(s, d).select("lookup_id", F.col("lat").alias("embedded_lat"), F.col("lon").alias("embedded_lon"), "region", (F.col("lat") + (F.col("lookup_id") % 4) * 0.004).alias("lat"), F.col("lon").alias("lon"))
 
 
-def _crosschecked(s, d, t):
-    return A.crosscheck(t, V.table(s, d, "study_areas"), "lookup_id", equirect_km("embedded_lat", "embedded_lon", "lat", "lon")).select("lookup_id", "embedded_area", F.coalesce("state", F.lit("?")).alias("state"))
-
-
 def location_crosscheck(s, d):
-    """Without half coordinates, as its SQL says; location_crosscheck_all has them."""
-    return _crosschecked(s, d, _uploads(s, d).where("(embedded_lat is null) = (embedded_lon is null)"))
-
-
-def location_crosscheck_all(s, d):
-    return _crosschecked(s, d, _uploads(s, d))
+    c = A.crosscheck(_uploads(s, d), V.table(s, d, "study_areas"), "lookup_id", equirect_km("embedded_lat", "embedded_lon", "lat", "lon"))
+    return c.select("lookup_id", "embedded_area", F.coalesce("state", F.lit("?")).alias("state"))
 
 
 def location_crosscheck_geodesic(s, d):
@@ -107,6 +101,32 @@ def asset_ranking(s, d):
     return X.rank_assets(_exposed(s, d), "way", "asset_id")
 
 
+def exposure_chain(s, d):
+    """Scars at nodes of the forest, one for each nation, down to ranked assets: customers as points with WKT, in metres of their zone."""
+    nodes, edges = V.forest(s, d)
+    at = V.table(s, d, "nation").select(F.col("n_nationkey").cast("long").alias("way"))
+    verdict = F.when(F.col("way") % 3 == 0, "stable").when(F.col("way") % 3 == 1, "uncertain").otherwise("breach_risk")
+    scars = at.select("way", (F.col("way") * 37 + 7).alias("node"), verdict.alias("verdict"), F.lit("EPSG:32645").alias("utm_crs"))
+    c = V.table(s, d, "customer")
+    lat, lon = 27.5 + (F.col("c_custkey") % 1000) / 1000, 84.5 + (F.col("c_custkey") * 7919 % 1500) / 10000
+    kinds = F.create_map(*[F.lit(x) for x in ("BUILDING", "building", "MACHINERY", "bridge", "AUTOMOBILE", "road", "HOUSEHOLD", "settlement", "FURNITURE", "helipad")])
+    a = c.select(F.col("c_custkey").alias("asset_id"), F.concat(F.lit("spot "), (F.col("c_custkey") % 200).cast("string")).alias("name"), kinds[F.col("c_mktsegment")].alias("asset_type"), F.concat(F.lit("POINT ("), lon.cast("string"), F.lit(" "), lat.cast("string"), F.lit(")")).alias("geometry"))
+    p = X.pieces(a, "asset_id", F.lit("EPSG:32645"))
+    r = propagate_exposure(scars, nodes, edges, p, a, "way", "node", radius_km=0.2)
+    return r.select("way", "asset_id", "name", "type", "distance_km", "lateral_offset_km", "exposure_score", "weight", "risk_score", "rank")
+
+
+def asset_points(s, d):
+    """A point for each asset's geometry, told by the area's box that holds it."""
+    a = V.table(s, d, "exposure").groupBy("asset_id").agg(F.min("geometry").alias("geometry"))
+    return X.representative_points(a, "asset_id").select("asset_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+def asset_clip(s, d):
+    a = V.table(s, d, "exposure").groupBy("asset_id").agg(F.min("area").alias("area"), F.min("geometry").alias("geometry"))
+    return X.clipped(a, V.table(s, d, "study_areas"), "asset_id").select("asset_id", "area")
+
+
 def path_cumulative(s, d):
     return X.segments(_ways(s, d), "way").select("way", "seq", F.round("start_m", 6).alias("start_m"), F.round("length_m", 6).alias("length_m"))
 
@@ -150,8 +170,8 @@ def model_configs(s, d):
 
 
 _NAMES = (
-    "study_area_list study_area_sources study_area_locate location_crosscheck location_crosscheck_all location_crosscheck_geodesic input_bounds asset_classify asset_counts clean_names line_reference exposure_topk "
-    "asset_ranking path_cumulative least_cloudy case_stages best_so_far best_epoch largest_per_bucket config_agreement model_configs"
+    "study_area_list study_area_sources study_area_locate location_crosscheck location_crosscheck_geodesic input_bounds asset_classify asset_counts clean_names line_reference exposure_topk "
+    "asset_ranking exposure_chain asset_points asset_clip path_cumulative least_cloudy case_stages best_so_far best_epoch largest_per_bucket config_agreement model_configs"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -170,12 +190,25 @@ _EXPOSED = f"""{_REF},
 once AS (SELECT * FROM ref QUALIFY row_number() OVER (PARTITION BY way, name, asset_type, round(along_m / 1000, 2) ORDER BY along_m / 1000, lateral_m, asset_id) = 1),
 exposed AS (SELECT way, asset_id, name, asset_type AS type, round(along_m / 1000, 3) AS distance_km, round(lateral_m / 1000, 3) AS lateral_offset_km, round(CASE way % 3 WHEN 0 THEN 0.05::DOUBLE WHEN 1 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END * exp(-(along_m / 1000) / 8.0::DOUBLE), 4) AS exposure_score FROM once),
 top AS (SELECT * FROM exposed QUALIFY row_number() OVER (PARTITION BY way ORDER BY distance_km, name, asset_id) <= 50)"""
+_CHAIN = f"""{V.FOREST},
+way(way, seq, node, dist) AS (SELECT n_nationkey, 0, n_nationkey * 37 + 7, 0.0::DOUBLE FROM nation JOIN nodes ON node = n_nationkey * 37 + 7 UNION ALL SELECT w.way, w.seq + 1, e.dst, w.dist + e.dist FROM way w JOIN edges e ON e.src = w.node),
+here AS (SELECT w.*, n.lat, n.lon, lag(dist) OVER k AS d0, lag(n.lat) OVER k AS lat0, lag(n.lon) OVER k AS lon0 FROM way w JOIN nodes n USING (node) WINDOW k AS (PARTITION BY way ORDER BY seq)),
+clip AS (SELECT way, seq, 'EPSG:32645' AS crs, CASE WHEN dist <= 200 THEN lat ELSE lat0 + (200 - d0) / (dist - d0) * (lat - lat0) END AS lat, CASE WHEN dist <= 200 THEN lon ELSE lon0 + (200 - d0) / (dist - d0) * (lon - lon0) END AS lon FROM here WHERE d0 IS NULL OR d0 < 200),
+{utm_sql("clip", "corners")},
+pieces AS (SELECT way, seq, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM corners WINDOW w AS (PARTITION BY way ORDER BY seq)),
+segs AS (SELECT *, coalesce(sum(length_m) OVER (PARTITION BY way ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS start_m FROM (SELECT *, sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)) AS length_m FROM pieces WHERE x1 IS NOT NULL)),
+site AS (SELECT c_custkey AS asset_id, 'EPSG:32645' AS crs, 27.5 + (c_custkey % 1000) / 1000 AS lat, 84.5 + (c_custkey * 7919 % 1500) / 10000 AS lon, 'spot ' || (c_custkey % 200) AS name,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'building' WHEN 'MACHINERY' THEN 'bridge' WHEN 'AUTOMOBILE' THEN 'road' WHEN 'HOUSEHOLD' THEN 'settlement' WHEN 'FURNITURE' THEN 'helipad' END AS asset_type FROM customer),
+{utm_sql("site", "placed")}, spots AS (SELECT asset_id, name, asset_type, x AS px, y AS py FROM placed)"""
+_RANKED = """weighed AS (SELECT *, CASE type WHEN 'bridge' THEN 0.95::DOUBLE WHEN 'settlement' THEN 0.8::DOUBLE WHEN 'road' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM top),
+scored AS (SELECT *, round((exposure_score * weight)::VARCHAR::DECIMAL(30, 20), 4)::DOUBLE AS risk_score FROM weighed) SELECT *, row_number() OVER (PARTITION BY way ORDER BY risk_score DESC, distance_km, name, asset_id)::INT AS rank FROM scored"""
 SQL = {
+    "exposure_chain": f"WITH RECURSIVE {_EXPOSED.replace(_WAYS, _CHAIN).replace(f', {_SPOTS}', '')}, {_RANKED}",
     "study_area_list": "SELECT name FROM study_areas ORDER BY name",
     "study_area_sources": "SELECT name, coalesce(nullif(osm_pbf_path, ''), 'data/raw/osm/extract.osm.pbf') AS pbf, 'data/study_areas/' || name || '/dem_glo30.tif' AS dem, coalesce(local_relief_fallback_m, 500.0) AS relief FROM study_areas",
     "study_area_locate": f"WITH {_LOCATED} SELECT lookup_id, area FROM located",
-    "location_crosscheck": f"""WITH {_LOCATED} SELECT lookup_id, area AS embedded_area, coalesce(CASE WHEN lat IS NULL THEN 'none' WHEN area IS NULL THEN 'outside' WHEN area <> region THEN 'region_mismatch' WHEN abs(lat + (lookup_id % 4) * 0.004::DOUBLE - lat) * 111.32::DOUBLE > 1 THEN 'point_mismatch' ELSE 'confirmed' END, '?') AS state
-FROM located WHERE (lat IS NULL) = (lon IS NULL)""",
+    "location_crosscheck": f"""WITH {_LOCATED} SELECT lookup_id, area AS embedded_area, coalesce(CASE WHEN lat IS NULL OR lon IS NULL THEN 'none' WHEN area IS NULL THEN 'outside' WHEN area <> region THEN 'region_mismatch' WHEN abs(lat + (lookup_id % 4) * 0.004::DOUBLE - lat) * 111.32::DOUBLE > 1 THEN 'point_mismatch' ELSE 'confirmed' END, '?') AS state
+FROM located""",
     "input_bounds": f"WITH {V.LOOKUPS} SELECT lookup_id, round(lat::VARCHAR::DECIMAL(30, 20), 4)::DOUBLE AS lat, round(lon::VARCHAR::DECIMAL(30, 20), 4)::DOUBLE AS lon, lon BETWEEN bbox[1] AND bbox[3] AND lat BETWEEN bbox[2] AND bbox[4] AS valid FROM lookups JOIN study_areas ON name = region WHERE lat IS NOT NULL AND lon IS NOT NULL",
     "asset_classify": f"WITH {V.ASSETS} SELECT asset_id, CASE WHEN highway IS NOT NULL THEN CASE WHEN bridge IS NOT NULL THEN 'bridge' ELSE 'road' END ELSE {_KIND} END AS kind FROM assets",
     "asset_counts": f"WITH {V.ASSETS} SELECT area, count(highway) AS roads, count(*) FILTER (WHERE highway IS NOT NULL AND bridge IS NOT NULL) AS bridges, count(*) FILTER (WHERE {_KIND} <> 'other') AS pois FROM assets GROUP BY area",
@@ -183,8 +216,7 @@ FROM located WHERE (lat IS NULL) = (lon IS NULL)""",
 UNION ALL SELECT asset_id, area, coalesce(name, 'unnamed ' || {_KIND}) AS name, {_KIND} AS asset_type FROM assets WHERE highway IS NULL AND {_KIND} <> 'other'""",
     "line_reference": f"WITH {_REF} SELECT way, asset_id, round(lateral_m, 3) AS lateral_m, round(along_m, 3) AS along_m FROM ref",
     "exposure_topk": f"WITH {_EXPOSED} SELECT * FROM top",
-    "asset_ranking": f"""WITH {_EXPOSED}, weighed AS (SELECT *, CASE type WHEN 'bridge' THEN 0.95::DOUBLE WHEN 'settlement' THEN 0.8::DOUBLE WHEN 'road' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM top),
-scored AS (SELECT *, round((exposure_score * weight)::VARCHAR::DECIMAL(30, 20), 4)::DOUBLE AS risk_score FROM weighed) SELECT *, row_number() OVER (PARTITION BY way ORDER BY risk_score DESC, distance_km, name, asset_id)::INT AS rank FROM scored""",
+    "asset_ranking": f"WITH {_EXPOSED}, {_RANKED}",
     "path_cumulative": f"WITH {_WAYS} SELECT way, seq::INT AS seq, round(start_m, 6) AS start_m, round(length_m, 6) AS length_m FROM segs",
     "least_cloudy": """WITH wanted(stage, target, w) AS (VALUES ('before', DATE '2024-01-08', 3), ('after', DATE '2024-01-20', 5))
 SELECT user_id AS for_site, stage, arg_min(event_id, (value, ts, event_id)) AS scene_id, arg_min(ts, (value, ts, event_id)) AS ts, min(value) AS cloud FROM events, wanted WHERE ts >= target - w::INT AND ts < target + w::INT GROUP BY user_id, stage""",

@@ -11,8 +11,9 @@ from scarpline.functions import polygon as G
 from scarpline.operators import hydrology as H
 from scarpline.operators import raster as R
 from scarpline.operators import scars as S
-from scarpline.operators.detect import predict_floods
+from scarpline.operators.detect import predict_floods, predict_slides
 from scarpline.operators.graph import is_acyclic, walk
+from scarpline.operators.pipelines import run_cases
 from scarpline.plans import views as V
 
 _KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
@@ -110,7 +111,7 @@ def flood_detections(s, d):
 
 
 def image_hashes(s, d):
-    p = V.pixels(s, d).select("chip_id", "row", "col", F.round("green", 4).alias("value"))
+    p = V.pixels(s, d).select("chip_id", "row", "col", F.round(F.col("green") * 100, 4).alias("value"))
     return R.perceptual_hashes(p, "chip_id")
 
 
@@ -169,8 +170,61 @@ def channel_graph(s, d):
 
 
 def channel_summary(s, d):
-    n = H.channel_nodes(H.flow_accumulation(H.flow_directions(V.dem(s, d))), 20)
-    return H.graph_summary(n, H.channel_edges(n))
+    nodes, edges = _graph(s, d)
+    g = H.graph_summary(nodes, edges)
+    return g.withColumn("max_upstream_area_km2", F.round("max_upstream_area_km2", 6))
+
+
+def _graph(s, d):
+    """Grid to graph: filled, drained, channels, nodes and edges."""
+    grid = s.range(1).select(F.lit("a").alias("area"), D.grid_from_centres(F.lit(85.0), F.lit(28.0), F.lit(0.0003), F.lit(0.00025)).alias("transform"), F.lit(50).alias("height"))
+    return H.drainage_graph(V.slope(s, d), grid, threshold=20)
+
+
+def drainage_nodes(s, d):
+    n = _graph(s, d)[0]
+    return n.select("node", "row", "col", *[F.round(c, 6).alias(c) for c in ("lat", "lon", "upstream_area_km2")])
+
+
+def drainage_edges(s, d):
+    return _graph(s, d)[1].select("src", "dst", F.round("dist", 5).alias("dist"))
+
+
+def terrain_lookup(s, d):
+    """Lookups over the forest's nodes and the grid of parts; one in ten lies outside of the grid and takes the area's fallback."""
+    nodes = V.forest(s, d)[0].select(F.lit("a").alias("area"), "node", "lat", "lon", (F.col("node") * 0.5).alias("upstream_area_km2"))
+    out = F.col("lookup_id") % 10 == 0
+    p = _points(s, d).select(F.lit("a").alias("area"), "*", F.when(~out, (F.col("lookup_id") % 45).cast("int")).alias("row"), F.when(~out, (F.col("lookup_id") % 40).cast("int")).alias("col"))
+    areas = s.range(1).select(F.lit("a").alias("name"), F.lit(500.0).alias("local_relief_fallback_m"))
+    t = H.lookup_terrain(p, nodes, V.dem(s, d), areas, "lookup_id", "node", 2)
+    return t.select("lookup_id", "node", "upstream_area_km2", F.round("local_relief_m", 6).alias("local_relief_m"), "local_relief_is_real", F.round("distance_to_channel_km", 5).alias("distance_to_channel_km"))
+
+
+def skipped_detections(s, d):
+    """Boxes, some of them on one line or with two corners only."""
+    box = lambda *c: F.struct(F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in c]).alias("mask_polygon"))
+    whole, flat, stub = box((0, 0), (4, 0), (4, 3)), box((0, 0), (1, 1), (2, 2)), box((0, 0), (4, 0))
+    t = V.table(s, d, "part").select("p_partkey", F.array(whole, F.when(F.col("p_partkey") % 2 == 0, flat).otherwise(whole), F.when(F.col("p_partkey") % 5 == 0, stub).otherwise(whole)).alias("detections"))
+    return S.skipped(t, "p_partkey")
+
+
+def slide_detections(s, d):
+    i = V.table(s, d, "part").select("p_partkey", (F.col("p_size") + 64).alias("height"), (F.col("p_partkey") % 100 + 64).alias("width"))
+    p = predict_slides(i, "p_partkey").select("p_partkey", F.inline("detections"))
+    return p.select("p_partkey", F.size("mask_polygon").alias("corners"), "confidence", "class", F.col("mask_polygon")[0]["x"].alias("x"), F.col("mask_polygon")[0]["y"].alias("y"))
+
+
+def validation_cases(s, d):
+    """Parts as cases: a box of the part's size with a confidence, and a flood over half of it."""
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    w, z, h = F.col("p_size"), F.lit(0), F.lit(10)
+    box = lambda a: F.array(corner(z + a, z), corner(w + a, z), corner(w + a, h), corner(z + a, h))
+    one = lambda a, c: F.array(F.struct(box(a).alias("mask_polygon"), c.alias("confidence"), F.lit("x").alias("class")))
+    p = V.table(s, d, "part").withColumnRenamed("p_partkey", "case")
+    found = p.select("case", one(z, (F.col("case") % 40) / 100.0).alias("detections"))
+    floods = p.select("case", F.when(F.col("case") % 3 == 0, F.slice(one(z, F.lit(1.0)), 1, 0)).otherwise(one(w / 2, F.lit(1.0))).alias("detections"))
+    r = run_cases(p.select("case", (w * 0.5).alias("upstream_area_km2"), F.lit(None).cast("double").alias("local_relief_m")), found, floods)
+    return r.select("case", "level", "n_detections", "n_scars", F.get("verdicts", F.lit(0)).alias("verdict"), "n_floods", F.round("iou", 6).alias("iou"))
 
 
 def filled_drainage(s, d):
@@ -182,7 +236,7 @@ def fill_depressions(s, d):
 
 
 def _starts(s, d):
-    return V.forest(s, d)[0].where("node % 50 = 7").select(F.col("node").alias("start"), F.col("node"))
+    return V.forest(s, d)[0].select(F.col("node").alias("start"), F.col("node"))
 
 
 def downstream_walk(s, d):
@@ -196,23 +250,6 @@ def downstream_clip(s, d):
     return w.select("start", "seq", "node", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("distance_km", 6).alias("distance_km"))
 
 
-def _every_start(s, d):
-    return V.forest(s, d)[0].select(F.col("node").alias("start"), F.col("node"))
-
-
-def downstream_walk_all(s, d):
-    """From every node; downstream_walk has the starts of its SQL."""
-    _, edges = V.forest(s, d)
-    return walk(_every_start(s, d), edges, "start", "node", 1e12).select("start", "seq", "node", F.col("dist").alias("dist_m"))
-
-
-def downstream_clip_all(s, d):
-    """From every node; downstream_clip has the starts of its SQL."""
-    nodes, edges = V.forest(s, d)
-    w = H.downstream(_every_start(s, d), nodes, edges, "start", "node", 0.25)
-    return w.select("start", "seq", "node", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("distance_km", 6).alias("distance_km"))
-
-
 def dag_check(s, d):
     _, edges = V.forest(s, d)
     ok = is_acyclic(edges)
@@ -256,7 +293,7 @@ def ground_resolution(s, d):
 _NAMES = (
     "scar_assessment scar_verdict_counts relief_cap_effect lookup_assessment confidence_ladder ndwi_pixels ndwi_chip_stats ndwi_heat percentile_stretch finite_stretch reflectance_bands "
     "mask_audit mask_flagged_ratio mask_components water_polygons mask_labels flood_detections image_hashes polygon_area polygon_overlap stub_detection_area label_text label_parse "
-    "local_relief_grid d8_direction flow_accumulation channel_graph channel_summary filled_drainage fill_depressions downstream_walk downstream_clip downstream_walk_all downstream_clip_all dag_check nearest_channel channel_distance_km "
+    "local_relief_grid d8_direction flow_accumulation channel_graph channel_summary filled_drainage fill_depressions downstream_walk downstream_clip dag_check drainage_nodes drainage_edges terrain_lookup skipped_detections slide_detections validation_cases nearest_channel channel_distance_km "
     "cell_geometry utm_round_trip ground_resolution"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -275,12 +312,29 @@ way(row, col, r, c) AS (SELECT row, col, row, col FROM dem UNION ALL SELECT w.ro
 acc AS (SELECT r AS row, c AS col, count(*) AS accumulation FROM way GROUP BY r, c),
 chan AS (SELECT * FROM acc WHERE accumulation > 20),
 links AS (SELECT n.* FROM next n JOIN chan a USING (row, col) JOIN chan b ON b.row = n.to_row AND b.col = n.to_col)"""
+_GRAPH = f"""{_ACC.replace(V.DEM, V.SLOPE)}, cell AS (SELECT 0.0003::DOUBLE * 111320 * cos(radians(28.0::DOUBLE + 0.00025::DOUBLE / 2 - 0.00025::DOUBLE * 50 / 2)) AS x_m, 0.00025::DOUBLE * 111320 AS y_m)"""
 _WALK = f"""WITH RECURSIVE {V.FOREST},
-way(start, seq, node, dist) AS (SELECT node, 0, node, 0.0::DOUBLE FROM nodes WHERE node % 50 = 7 UNION ALL SELECT w.start, w.seq + 1, e.dst, w.dist + e.dist FROM way w JOIN edges e ON e.src = w.node)"""
+way(start, seq, node, dist) AS (SELECT node, 0, node, 0.0::DOUBLE FROM nodes UNION ALL SELECT w.start, w.seq + 1, e.dst, w.dist + e.dist FROM way w JOIN edges e ON e.src = w.node)"""
 _POINTS = f"{V.FOREST}, {V.LOOKUPS}, points AS (SELECT lookup_id, 27.5 + abs(lat) % 1 AS lat, 84.5 + abs(lon) % 1 * 0.15 AS lon FROM lookups WHERE lat IS NOT NULL AND lon IS NOT NULL)"
 _NEAREST = f"{_POINTS}, near AS (SELECT lookup_id, arg_min(node, ((p.lat - n.lat) * (p.lat - n.lat) + (p.lon - n.lon) * (p.lon - n.lon), node)) AS node FROM points p, nodes n GROUP BY lookup_id)"
 
+
+
+def utm_sql(source: str, name: str) -> str:
+    """A table name of all columns of source (with lat, lon, crs) and x, y in metres of the UTM zone that crs names."""
+    terms = list(enumerate(D._FORWARD, 1))
+    east = " + ".join(f"({c!r}::DOUBLE) * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, c in terms)
+    north = " + ".join(f"({c!r}::DOUBLE) * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, c in terms)
+    e, scale = f"{D._ECC!r}::DOUBLE", f"{D.SCALE * D._RECTIFYING!r}::DOUBLE"
+    return f"""{name}_1 AS (SELECT *, sin(radians(lat)) AS s_, radians(lon - (right(crs, 2)::INT * 6 - 183)) AS lam_ FROM {source}),
+{name}_2 AS (SELECT *, sinh(atanh(s_) - {e} * atanh({e} * s_)) AS t_ FROM {name}_1),
+{name}_3 AS (SELECT *, atan2(t_, cos(lam_)) AS xi, asinh(sin(lam_) / sqrt(t_ * t_ + cos(lam_) * cos(lam_))) AS eta FROM {name}_2),
+{name} AS (SELECT * EXCLUDE (s_, lam_, t_, xi, eta), 500000 + {scale} * (eta + {east}) AS x, CASE WHEN contains(crs, ':327') THEN 10000000 ELSE 0 END + {scale} * (xi + {north}) AS y FROM {name}_3)"""
+
+
 SQL = {
+    "utm_round_trip": f"""WITH a AS (SELECT name, utm_crs AS crs, (bbox[2] + bbox[4]) / 2 AS lat, bbox[1] AS lon FROM study_areas), {utm_sql("a", "u")}
+SELECT name, round(x, 3) AS x, round(y, 3) AS y, true AS lat_back, true AS lon_back FROM u""",
     "scar_assessment": f"WITH {V.SCARS} SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(volume, 6) AS volume_m3, round(height, 6) AS dam_height_m, round(dbi, 6) AS dbi, verdict FROM judged",
     "scar_verdict_counts": f"WITH {V.SCARS} SELECT verdict, count(*) AS scars, round(avg(dbi), 6) AS mean_dbi FROM judged GROUP BY verdict",
     "relief_cap_effect": f"""WITH {V.SCARS}, free AS (SELECT *, log10(q * pow(volume, 1.0 / 3) / (volume / 1e6)) AS f FROM judged)
@@ -320,7 +374,20 @@ SELECT p_partkey, f[1]::INT AS label, k::INT AS "at", round(f[2 + 2 * k]::DOUBLE
     "d8_direction": f"WITH {_D8} SELECT row, col, direction FROM flow",
     "flow_accumulation": f"{_ACC} SELECT row, col, accumulation FROM acc",
     "channel_graph": f"{_ACC} SELECT row, col, to_row, to_col, round(CASE WHEN direction IN (128, 2, 8, 32) THEN sqrt(1300.0::DOUBLE) WHEN direction IN (64, 4) THEN 30.0 ELSE 20.0 END, 6) AS distance_m FROM links",
-    "channel_summary": f"{_ACC} SELECT 'a' AS area, (SELECT count(*) FROM chan) AS n_nodes, (SELECT count(*) FROM links) AS n_edges, (SELECT max(accumulation) FROM chan) AS max_upstream WHERE EXISTS (SELECT 1 FROM chan)",
+    "channel_summary": f"{_GRAPH} SELECT 'a' AS area, (SELECT count(*) FROM chan) AS n_nodes, (SELECT count(*) FROM links) AS n_edges, (SELECT round(max(accumulation) * x_m * y_m / 1e6, 6) FROM chan, cell GROUP BY x_m, y_m) AS max_upstream_area_km2 WHERE EXISTS (SELECT 1 FROM chan)",
+    "drainage_nodes": f"{_GRAPH} SELECT 'a:' || row || ':' || col AS node, row, col, round(28.0::DOUBLE - 0.00025::DOUBLE * row, 6) AS lat, round(85.0::DOUBLE + 0.0003::DOUBLE * col, 6) AS lon, round(accumulation * x_m * y_m / 1e6, 6) AS upstream_area_km2 FROM chan, cell",
+    "drainage_edges": f"{_GRAPH} SELECT 'a:' || row || ':' || col AS src, 'a:' || to_row || ':' || to_col AS dst, round(CASE WHEN direction IN (128, 2, 8, 32) THEN sqrt(x_m * x_m + y_m * y_m) WHEN direction IN (64, 4) THEN y_m ELSE x_m END, 5) AS dist FROM links, cell",
+    "terrain_lookup": f"""WITH {V.DEM}, {_NEAREST}, spot AS (SELECT p.*, CASE WHEN lookup_id % 10 <> 0 THEN lookup_id % 45 END AS row, CASE WHEN lookup_id % 10 <> 0 THEN lookup_id % 40 END AS col FROM points p),
+relief AS (SELECT row, col, (SELECT max(elev) - min(elev) FROM dem d WHERE abs(d.row - r.row) <= 2 AND abs(d.col - r.col) <= 2) AS relief FROM (SELECT DISTINCT row, col FROM spot WHERE row IS NOT NULL) r)
+SELECT lookup_id, node, node * 0.5::DOUBLE AS upstream_area_km2, round(coalesce(relief, 500.0), 6)::DOUBLE AS local_relief_m, relief IS NOT NULL AS local_relief_is_real,
+round(sqrt((n.lat - p.lat) * (n.lat - p.lat) + ((n.lon - p.lon) * cos(radians(p.lat))) * ((n.lon - p.lon) * cos(radians(p.lat)))) * 111.32, 5) AS distance_to_channel_km
+FROM spot p JOIN near USING (lookup_id) JOIN nodes n USING (node) LEFT JOIN relief ON relief.row = p.row AND relief.col = p.col""",
+    "skipped_detections": "SELECT p_partkey, ((p_partkey % 2 = 0)::INT + (p_partkey % 5 = 0)::INT)::INT AS n_skipped FROM part",
+    "slide_detections": "WITH i AS (SELECT p_partkey, (p_size + 64)::DOUBLE AS h, (p_partkey % 100 + 64)::DOUBLE AS w FROM part) SELECT p_partkey, 6 AS corners, 0.87::DOUBLE AS confidence, 'landslide' AS class, round(w * 0.55::DOUBLE + w * 0.22::DOUBLE * -1.0::DOUBLE, 1) AS x, round(h * 0.5::DOUBLE + h * 0.16::DOUBLE * -0.3::DOUBLE, 1) AS y FROM i",
+    "validation_cases": """WITH c AS (SELECT p_partkey AS "case", p_size * 0.5 AS q, (p_partkey % 40) / 100.0::DOUBLE AS sure, 0.146 * pow(p_size * 10 * 900.0, 1.332) AS v, p_partkey % 3 <> 0 AS flooded FROM part),
+j AS (SELECT *, log10(q * pow(v, 1.0 / 3) / (v / 1e6)) AS dbi FROM c)
+SELECT "case", CASE WHEN sure >= 0.25 THEN 0.25::DOUBLE WHEN sure >= 0.05 THEN 0.05::DOUBLE WHEN sure >= 0.01 THEN 0.01::DOUBLE END AS level, (sure >= 0.01)::BIGINT AS n_detections, (sure >= 0.25)::INT AS n_scars,
+CASE WHEN sure < 0.25 THEN NULL WHEN dbi < 2.75 THEN 'stable' WHEN dbi <= 3.08 THEN 'uncertain' ELSE 'breach_risk' END AS verdict, flooded::INT AS n_floods, CASE WHEN sure >= 0.25 AND flooded THEN round(1.0::DOUBLE / 3, 6) END AS iou FROM j""",
     "downstream_walk": f"{_WALK} SELECT start, seq, node, dist AS dist_m FROM way",
     "downstream_clip": f"""{_WALK}, here AS (SELECT w.*, n.lat, n.lon, lag(dist) OVER k AS d0, lag(n.lat) OVER k AS lat0, lag(n.lon) OVER k AS lon0 FROM way w JOIN nodes n USING (node) WINDOW k AS (PARTITION BY start ORDER BY seq))
 SELECT start, seq, CASE WHEN dist <= 250 THEN node END AS node, round(CASE WHEN dist <= 250 THEN lat ELSE lat0 + (250 - d0) / (dist - d0) * (lat - lat0) END, 6) AS lat, round(CASE WHEN dist <= 250 THEN lon ELSE lon0 + (250 - d0) / (dist - d0) * (lon - lon0) END, 6) AS lon,
@@ -332,4 +399,3 @@ round(CASE WHEN dist <= 250 THEN dist / 1000 ELSE 0.25 END, 6) AS distance_km FR
 SELECT name, round(0.0003::DOUBLE * 111320 * cos(radians(f - 0.00025::DOUBLE * 3600 / 2)), 6) AS x_m, round(0.00025::DOUBLE * 111320, 6) AS y_m, round(0.0003::DOUBLE * 111320 * cos(radians(f - 0.00025::DOUBLE * 3600 / 2)) * (0.00025::DOUBLE * 111320) / 1e6, 6) AS area_km2,
 round(0.0003::DOUBLE * 20.5 + c, 6) AS px, round(f - 0.00025::DOUBLE * 10.5, 6) AS py, 20 AS row, 20 AS col FROM t""",
 }
-SQL |= {f"{n}_all": SQL[n].replace(" WHERE node % 50 = 7", "") for n in ("downstream_walk", "downstream_clip")}

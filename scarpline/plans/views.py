@@ -86,3 +86,12 @@ def asset_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 ASSETS = "assets AS (SELECT asset_id, min(area) AS area, min(name) AS name, min(highway) AS highway, min(bridge) AS bridge, min(amenity) AS amenity, min(place) AS place FROM exposure GROUP BY asset_id)"
+
+
+def slope(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as an elevation grid without pits and flats: the noise is less than a step down."""
+    p = table(spark, sf, "part")
+    return p.select(F.lit("a").alias("area"), F.floor(F.col("p_partkey") / 40).cast("int").alias("row"), (F.col("p_partkey") % 40).cast("int").alias("col"), F.expr("1.5D * floor(p_partkey / 40) + 0.5D * (p_partkey % 40) + 0.005D * p_size").alias("elev"))
+
+
+SLOPE = DEM.replace("0.05::DOUBLE", "0.005::DOUBLE")

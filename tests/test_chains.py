@@ -204,7 +204,7 @@ def test_crosscheck_leaves_no_lookup_out(spark, data):
 
     n = V.lookups(spark, data).count()
     half = V.lookups(spark, data).where("(lat is null) <> (lon is null)").select("lookup_id").collect()
-    states = {r.lookup_id: r.state for r in regions.location_crosscheck_all(spark, data).collect()}
+    states = {r.lookup_id: r.state for r in regions.location_crosscheck(spark, data).collect()}
     assert len(states) == n and half and {states[r.lookup_id] for r in half} == {"none"}
     counts = {r.state: r for r in regions.location_crosscheck_geodesic(spark, data).collect()}
     assert sum(r.n for r in counts.values()) == n and counts["none"].mean_km is None

@@ -118,9 +118,9 @@ def test_walks_start_from_every_node(spark, data):
                 f = min(1.0, (250 - before) / (dist - before))
                 cut = dist >= 250
                 clipped.add((start, seq, node if dist <= 250 else None, *(a + f * (b - a) for a, b in zip(at[last], at[node])), min(dist, 250.0) / 1000))
-    got = [tuple(r) for r in terrain.downstream_walk_all(spark, data).collect()]
+    got = [tuple(r) for r in terrain.downstream_walk(spark, data).collect()]
     assert len(got) == len(walked) and set(got) == walked and {r[0] for r in got} == set(at)
     flat = lambda rows: sorted((s, k, -1 if n is None else n, *(round(x, 5) + 0.0 for x in v)) for s, k, n, *v in rows)
     near = lambda a, b: a[:3] == b[:3] and all(abs(x - y) < 2.1e-5 for x, y in zip(a[3:], b[3:]))
-    a, b = flat(clipped), flat(tuple(r) for r in terrain.downstream_clip_all(spark, data).collect())
+    a, b = flat(clipped), flat(tuple(r) for r in terrain.downstream_clip(spark, data).collect())
     assert len(a) == len(b) and all(map(near, a, b))
