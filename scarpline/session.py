@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,13 +91,18 @@ def release(*tables: DataFrame) -> None:
 
 
 @contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Deletes, when it ends, every table written inside it; results that read them must have been written or collected by then."""
-    before = set(_alive)
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes, when it ends, every table written inside it but those given to what it yields; results that read the others must have been written by then."""
+    before, kept = set(_alive), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(table._scarpline_path)
+        return table
+
     try:
-        yield
+        yield keep
     finally:
-        _delete(spark, [p for p in _alive if p not in before])
+        _delete(spark, [p for p in _alive if p not in before and p not in kept])
 
 
 def release_all(spark: SparkSession) -> None:
