@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scarpline.session import materialize, release
+from scarpline.session import materialize, release, scope
 
 #: Words are counted in so many buckets, whatever the corpus: the size of what goes to each task is fixed.
 BUCKETS = 1 << 16
@@ -175,10 +175,11 @@ ITEM_TEXTS = ["img_path", "mask_path"]
 
 
 def _found(items: DataFrame, key: str, texts: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(pairs of firsts with their counts, copies)."""
+    """(pairs of firsts with their counts, copies); what led to them is deleted."""
     r = items.select(key, *texts)
-    records, copies = classed(sequences(r, key, texts), key)
-    return exact(candidates(records), r, key, texts), copies
+    with scope(items.sparkSession) as keep:
+        records, copies = classed(sequences(r, key, texts), key)
+        return keep(materialize(exact(candidates(records), r, key, texts))), keep(copies)
 
 
 def near_names(items: DataFrame, key: str = "item_id", texts: list[str] | None = None) -> DataFrame:

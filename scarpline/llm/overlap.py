@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from scarpline.llm.names import ITEM_TEXTS, candidates, classed, exact, sequences, spread_pairs
 from scarpline.operators.hygiene import near_hashes
-from scarpline.session import materialize
+from scarpline.session import materialize, scope
 
 def split_of(old_split: Column) -> Column:
     """train, validation, test or NULL, by the first letters, without regard to case and outer blanks."""
@@ -32,8 +32,9 @@ def _in_splits(items: DataFrame) -> DataFrame:
 def name_overlaps(items: DataFrame) -> DataFrame:
     """(a, b, shared, total): one item in train, the other in validation or test, and near names; counted in words. Items of one side with equal words are joined as one."""
     r = _in_splits(items)
-    records, copies = classed(sequences(r, "item_id", ITEM_TEXTS, ("training",)), "item_id", ("training",))
-    found = exact(candidates(records, "training"), r, "item_id", ITEM_TEXTS)
+    with scope(items.sparkSession) as keep:
+        records, copies = classed(sequences(r, "item_id", ITEM_TEXTS, ("training",)), "item_id", ("training",))
+        found, copies = keep(materialize(exact(candidates(records, "training"), r, "item_id", ITEM_TEXTS))), keep(copies)
     return spread_pairs(found.select("a", "b", "shared", "total"), copies)
 
 
