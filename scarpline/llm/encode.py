@@ -12,6 +12,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,8 @@ class MergeReplay:
             self.rank.setdefault(vocab[a] << 20 | vocab[b], r)
             self.made.append(vocab[a + b])
         self.split = regex.compile(PATTERN).findall
+        #: Ids are below this.
+        self.size = max(vocab.values()) + 1
         self.known: dict[str, int] = {}
         self.start, self.ids = [0], []
 
@@ -140,10 +143,10 @@ class MergeReplay:
             self.known, self.start, self.ids = {}, [0], []
         split, known = self.split, self.known
         parts = [split(t) if t else [] for t in texts]
-        fresh = {w for p in parts for w in p if w not in known}
+        fresh = set(chain.from_iterable(parts)).difference(known)
         if fresh:
             self.learn(list(fresh))
-        which = np.fromiter((known[w] for p in parts for w in p), dtype=np.int64, count=sum(map(len, parts)))
+        which = np.fromiter(map(known.__getitem__, chain.from_iterable(parts)), dtype=np.int64, count=sum(map(len, parts)))
         start, ids = np.array(self.start, dtype=np.int64), np.array(self.ids, dtype=np.int32)
         length = start[which + 1] - start[which]
         done = np.r_[0, np.cumsum(length)]

@@ -1,9 +1,10 @@
 """Texts packed into containers of fixed capacity, like with like.
 
 Items are texts or, of a text longer than a container, what remains after whole containers are cut off. They are divided into shards;
-each shard has a BM25 index of its items' tokens. The largest unused item opens a container, its nearest unused neighbours fill it as
-long as they fit, and what is still empty is closed with the items whose sizes come out best: one or two that fit exactly, else the
-largest that fits. Containers that stay loose go to a second round over fewer shards.
+each shard has a BM25 index of its items' tokens. The largest unused item opens a container and is the query, with all of its terms; its
+unused neighbours, nearest first and any number of them, fill it as long as they fit and no unused item fills what is left exactly. What
+is still empty is closed with the items whose sizes come out best: one or two that fit exactly, else the largest that fits. Containers
+that stay loose go to a second round over fewer shards.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from scarpline.llm.encode import BYTE_BPE, TOKENIZERS, replay, some
 from scarpline.session import materialize
 
 CAPACITY = 2048
-#: Items of a shard; what lies in containers of the first shards that are emptier than LOOSE goes to the second round.
-SHARD, LOOSE = 20_000, 0.985
-#: Query tokens of a container's first item, BM25's constants, and how many neighbours are looked at.
-QUERY, K1, B, NEIGHBOURS = 24, 1.2, 0.75, 256
-VOCABULARY = 1 << 16
+#: A shard has at most about so many items and so many tokens of them; what lies in containers of the first shards that are emptier than LOOSE goes to the second round.
+SHARD, SHARD_TOKENS, LOOSE = 5_000, 2_500_000, 0.985
+#: BM25's constants.
+K1, B = 1.2, 0.75
+#: Terms in more than one of so many items of a shard are scored as a matrix, so many seeds at once; the others by their postings.
+COMMON, SEEDS = 16, 64
 
 
 def items(documents: DataFrame, key: str, text: str, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
@@ -44,11 +46,11 @@ def items(documents: DataFrame, key: str, text: str, capacity: int = CAPACITY, t
                 size = (n - 1) % capacity + 1
                 doc = np.repeat(np.arange(len(n)), size)
                 at = np.repeat(end - size - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum()) if len(n) else np.zeros(0, np.int64)
-                pair, count = np.unique(doc * VOCABULARY + flat[at], return_counts=True)
-                ends = np.searchsorted(pair, np.arange(len(n) + 1) * VOCABULARY)
+                pair, count = np.unique(doc * m.size + flat[at], return_counts=True)
+                ends = np.searchsorted(pair, np.arange(len(n) + 1) * m.size)
                 off = pa.array(ends, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, len(texts)).take(pa.array(keep)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(off, pa.array(pair % VOCABULARY, pa.int32())), pa.ListArray.from_arrays(off, pa.array(count, pa.int32()))],
+                    [b.column(0).slice(first, len(texts)).take(pa.array(keep)), pa.array(n, pa.int64()), pa.ListArray.from_arrays(off, pa.array(pair % m.size, pa.int32())), pa.ListArray.from_arrays(off, pa.array(count, pa.int32()))],
                     names=[key, "tokens", "terms", "counts"],
                 )
 
@@ -104,39 +106,91 @@ class _Pool:
         return [self.one(int(fits[-1]) + 1)] if len(fits) else []
 
 
+class _Scores:
+    """BM25 scores of all items of a shard for one of them as the query, by all of its terms."""
+
+    def __init__(self, size: np.ndarray, start: np.ndarray, terms: np.ndarray, counts: np.ndarray, df: np.ndarray, total: float, average: float) -> None:
+        n = self.n = len(size)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5)).astype(np.float32)
+        owner = np.repeat(np.arange(n), np.diff(start))
+        norm = (K1 * (1 - B + B * size / max(average, 1.0))).astype(np.float32)
+        weight = (idf[terms] * counts * (K1 + 1) / (counts + norm[owner])).astype(np.float32)
+        here = np.bincount(terms, minlength=len(df))
+        common = np.flatnonzero(here * COMMON > n)
+        column = np.full(len(df), -1, np.int64)
+        column[common] = np.arange(len(common))
+        often = column[terms] >= 0
+        self.matrix = np.zeros((n, len(common)), np.float32)
+        self.matrix[owner[often], column[terms[often]]] = weight[often]
+        rare = np.flatnonzero(~often)
+        rare = rare[np.argsort(terms[rare], kind="stable")]
+        self.who, self.weight = owner[rare].astype(np.int32), weight[rare]
+        self.index = np.searchsorted(terms[rare], np.arange(len(df) + 1))
+        self.start, self.terms, self.column = start, terms, column
+        #: Later seeds in the order of their turn; scores by common terms are worked out for some of them at once.
+        self.line = np.lexsort((np.arange(n), -size))
+        self.place = np.empty(n, np.int64)
+        self.place[self.line] = np.arange(n)
+        self.ready: dict[int, np.ndarray] = {}
+
+    def own(self, item: int) -> np.ndarray:
+        return self.terms[self.start[item] : self.start[item + 1]]
+
+    def of(self, seed: int, free: np.ndarray) -> np.ndarray:
+        got = self.ready.pop(seed, None)
+        if got is None:
+            later = self.line[self.place[seed] + 1 :]
+            seeds = [seed, *later[free[later]][: SEEDS - 1].tolist()]
+            query = np.zeros((self.matrix.shape[1], len(seeds)), np.float32)
+            for k, s in enumerate(seeds):
+                c = self.column[self.own(s)]
+                query[c[c >= 0], k] = 1
+            part = np.ascontiguousarray((self.matrix @ query).T)
+            self.ready = dict(zip(seeds, part))
+            got = self.ready.pop(seed)
+        t = self.own(seed)
+        t = t[self.column[t] < 0]
+        spans = [slice(a, b) for a, b in zip(self.index[t], self.index[t + 1]) if b > a]
+        if not spans:
+            return got
+        return got + np.bincount(np.concatenate([self.who[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+
+
+def _downwards(score: np.ndarray, some: int = 128) -> Iterator[int]:
+    """Places from the highest score down, equal ones in their order; the first some are sorted before the others."""
+    if len(score) > 2 * some:
+        top = score >= np.partition(score, len(score) - some)[-some]
+        first, rest = np.flatnonzero(top), np.flatnonzero(~top)
+        yield from first[np.argsort(-score[first], kind="stable")].tolist()
+        yield from rest[np.argsort(-score[rest], kind="stable")].tolist()
+    else:
+        yield from np.argsort(-score, kind="stable").tolist()
+
+
 def pack(size: np.ndarray, start: np.ndarray, terms: np.ndarray, counts: np.ndarray, df: np.ndarray, total: float, average: float, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """(container, place) of each item. Item i has the terms terms[start[i]:start[i + 1]]; df: texts that have a term, of total texts in the corpus."""
     n = len(size)
     container, place = np.full(n, -1, np.int64), np.zeros(n, np.int32)
-    idf = np.log1p((total - df + 0.5) / (df + 0.5)).astype(np.float32)
-    owner = np.repeat(np.arange(n), np.diff(start))
-    norm = (K1 * (1 - B + B * size / max(average, 1.0))).astype(np.float32)
-    weight = idf[terms] * counts * (K1 + 1) / (counts + norm[owner])
-    order = np.argsort(terms, kind="stable")
-    post_owner, post_weight = owner[order].astype(np.int32), weight[order].astype(np.float32)
-    index = np.searchsorted(terms[order], np.arange(len(df) + 1))
+    scores = _Scores(size, start, terms, counts, df, total, average)
     pool = _Pool(size, capacity)
-    k = 0
+    k, smallest = 0, 1
     while (seed := pool.largest()) is not None:
         pool.take(seed)
         inside, gap = [seed], capacity - int(size[seed])
-        if gap:
-            own = terms[start[seed] : start[seed + 1]]
-            query = own[np.argsort(-idf[own], kind="stable")[:QUERY]]
-            who = np.concatenate([post_owner[index[t] : index[t + 1]] for t in query]) if len(query) else np.zeros(0, np.int32)
-            if len(who):
-                score = np.bincount(who, np.concatenate([post_weight[index[t] : index[t + 1]] for t in query]), n)
-                near = np.unique(who)
-                near = near[pool.free[near] & (size[near] <= gap)]
-                if len(near) > NEIGHBOURS:
-                    near = near[np.argpartition(-score[near], NEIGHBOURS)[:NEIGHBOURS]]
-                for i in near[np.lexsort((near, -score[near]))].tolist():
-                    if size[i] <= gap and not pool.left[gap] and pool.free[i]:
-                        pool.take(i)
-                        inside.append(i)
-                        gap -= int(size[i])
-                        if not gap:
-                            break
+        while smallest < capacity and not pool.left[smallest]:
+            smallest += 1
+        if gap >= smallest:
+            near = np.flatnonzero(pool.free & (size <= gap))
+            score = scores.of(seed, pool.free)[near]
+            near, score = near[score > 0], score[score > 0]
+            for j in _downwards(score):
+                i = int(near[j])
+                if gap < smallest or pool.left[gap]:
+                    break  # nothing fits, or one item fills what is left exactly
+                if size[i] <= gap:
+                    pool.take(i)
+                    inside.append(i)
+                    gap -= int(size[i])
             while gap:
                 more = pool.closing(gap)
                 if not more:
@@ -165,9 +219,20 @@ def pack_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", ca
     every = materialize(items(documents, key, text, capacity, tokenizer))
     last = F.pmod(F.col("tokens") - 1, F.lit(capacity)) + 1
     n, average = every.agg(F.count(F.lit(1)), F.coalesce(F.avg(last), F.lit(1.0))).first()
-    df = np.zeros(VOCABULARY, dtype=np.float64)
-    for t, c in every.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # at most the vocabulary
-        df[t] = c
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(0, np.int64)
+        for b in batches:
+            got = np.bincount(b.column(0).flatten().to_numpy())
+            sums, got = (got, sums) if len(got) > len(sums) else (sums, got)
+            sums[: len(got)] += got
+        t = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(sums[t], pa.int64())], names=["t", "n"])
+
+    found = every.select("terms").mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
+    t = found.column("t").to_numpy()
+    df = np.zeros(int(t.max()) + 1 if len(t) else 1, dtype=np.float64)
+    df[t] = found.column("n").to_numpy()
 
     def run(name: str):
         def one(table: pa.Table) -> pa.Table:
@@ -187,14 +252,14 @@ def pack_texts(documents: DataFrame, key: str = "doc_id", text: str = "text", ca
 
         return one
 
-    shards = max(1, round(n / shard))
+    shards = max(1, round(n / shard), round(n * average / SHARD_TOKENS))
     of = every.select(F.col(key).alias("key"), "tokens", "terms", "counts")
     first = materialize(of.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).groupBy("shard").applyInArrow(run("a"), _PACKED.format(kind)))
     packed = first
     loose = first.where(F.col("fill") < LOOSE * capacity)
     few = loose.count()
     if shards > 1 and few:
-        groups = max(1, round(few / shard))
+        groups = max(1, round(few / shard), round(few * average / SHARD_TOKENS))
         again = loose.select("key", "tokens", "terms", "counts").withColumn("shard", F.pmod(F.xxhash64(F.lit(1), "key"), F.lit(groups)).cast("int"))
         second = again.groupBy("shard").applyInArrow(run("b"), _PACKED.format(kind))
         packed = first.where(F.col("fill") >= LOOSE * capacity).unionByName(second)
