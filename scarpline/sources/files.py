@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,3 +90,35 @@ def band_statistics(spark: SparkSession, path: str) -> DataFrame:
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """(path, length) of files, without reading them."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, height, width, bands) of PNG, JPEG, BMP and GIF files: red, green and blue as flat arrays, grey three times; files that are none have no row."""
+    d = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(len(b)):  # an image at a time
+                h, w, n = (b.column(c)[k].as_py() for c in (1, 2, 3))
+                x = np.frombuffer(b.column(4)[k].as_buffer(), np.uint8).reshape(h, w, n)[:, :, : 3 if n > 2 else 1]
+                bands = [x[:, :, c].ravel().astype(float) for c in ((2, 1, 0) if n > 2 else (0, 0, 0))]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(k, 1), b.column(1).slice(k, 1), b.column(2).slice(k, 1), pa.array([bands], pa.list_(pa.list_(pa.float64())))], names=["path", "height", "width", "bands"])
+
+    return d.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "path string, height int, width int, bands array<array<double>>")
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, path: str, area: str = "area") -> None:
+    """A drainage graph as two tables, a folder for each area."""
+    nodes.write.mode("overwrite").partitionBy(area).parquet(f"{path}/nodes")
+    edges.write.mode("overwrite").partitionBy(area).parquet(f"{path}/edges")
+
+
+def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of write_graph(); an area asked for is read alone."""
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges")
+
+
+def example_table(spark: SparkSession, rows: list[tuple[str, float, float, int, int]], folder: str) -> DataFrame:
+    """(id, lat, lon, area_m2, n_landslides, image_path) of a static list of located examples, each with its chip in folder."""
+    d = spark.createDataFrame(rows, "id string, lat double, lon double, area_m2 long, n_landslides int")
+    return d.withColumn("image_path", F.concat(F.lit(folder.rstrip("/") + "/"), "id", F.lit(".tif")))

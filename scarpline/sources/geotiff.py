@@ -1,14 +1,13 @@
 """A data source for GeoTIFF rasters, and a writer of small ones.
 
 spark.read.format("geotiff").load(path) gives (path, width, height, count, crs, transform, bands); path is a file, a folder or a
-pattern that every executor can open. Read are baseline TIFFs in strips or tiles, plain or deflated, whole numbers or floats of 8
+pattern on a file system that every executor can open: a local or mounted one, or by its URI any that Arrow knows (s3, gs, hdfs). Read are baseline TIFFs in strips or tiles, plain or deflated, whole numbers or floats of 8
 to 64 bits, with or without horizontal differencing.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
 import struct
 import zlib
 from collections.abc import Iterator
@@ -120,19 +119,42 @@ def write_geotiff(bands: np.ndarray, transform: list[float] | None = None, epsg:
     return b"II" + struct.pack("<HI", 42, 8) + struct.pack("<H", len(fields)) + b"".join(entries) + struct.pack("<I", 0) + late + b"".join(strips)
 
 
+def _at(path: str) -> tuple:
+    """(file system, path in it)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def _files(path: str) -> list[str]:
+    """The TIFF files of a file, a folder (with all below) or a pattern in a folder's file names, as they are opened again."""
+    scheme = path.split("://")[0] + "://" if "://" in path else ""
+    folder, _, name = path.rpartition("/")
+    pattern = any(c in name for c in "*?[")
+    system, at = _at(folder if pattern else path)
+    from pyarrow import fs
+
+    info = system.get_file_info(at)
+    if info.type == fs.FileType.Directory:
+        found = [f.path for f in system.get_file_info(fs.FileSelector(at, recursive=not pattern)) if f.type == fs.FileType.File]
+        found = [f for f in found if not pattern or fnmatch.fnmatchcase(f.rpartition("/")[2], name)]
+    else:
+        found = [at] if info.type == fs.FileType.File else []
+    return sorted(scheme + f for f in found if f.lower().endswith((".tif", ".tiff")))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str) -> None:
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        p = self.path.removeprefix("file://")
-        files = sorted(f for f in glob.glob(os.path.join(p, "**") if os.path.isdir(p) else p, recursive=True) if f.lower().endswith((".tif", ".tiff")))
-        return [InputPartition(f) for f in files] or [InputPartition(None)]
+        return [InputPartition(f) for f in _files(self.path)] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition.value is None:
             return
-        with open(partition.value, "rb") as f:
+        system, at = _at(partition.value)
+        with system.open_input_stream(at) as f:
             r = read_geotiff(f.read())
         yield partition.value, r["width"], r["height"], r["count"], r["crs"], r["transform"], [x.ravel().tolist() for x in r["bands"]]
 

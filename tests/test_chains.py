@@ -220,3 +220,117 @@ def test_crosscheck_of_strange_coordinates(spark):
     got = {r.k: r for r in crosscheck(u, areas, "k").collect()}
     assert [got[k].state for k in range(1, 7)] == ["none"] * 3 + ["outside"] * 2 + ["confirmed"]
     assert [got[k].distance_km for k in range(1, 5)] == [None] * 4 and abs(got[5].distance_km) < 1e-9 and abs(got[6].distance_km - 0.44327) < 1e-4
+
+
+def png(gray, width):
+    import struct
+    import zlib
+
+    part = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", zlib.crc32(k + b))
+    rows = b"".join(b"\0" + bytes(v for p in gray[k : k + width] for v in p) for k in range(0, len(gray), width))
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, len(gray) // width, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b"")
+
+
+def test_images(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(png([(1, 2, 3), (4, 5, 6), (7, 8, 9), (10, 11, 12), (13, 14, 15), (16, 17, 18)], 3))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    (r,) = files.images(spark, str(tmp_path)).collect()
+    assert (r.height, r.width, os.path.basename(r.path)) == (2, 3, "a.png") and r.bands == [[1.0, 4.0, 7.0, 10.0, 13.0, 16.0], [2.0, 5.0, 8.0, 11.0, 14.0, 17.0], [3.0, 6.0, 9.0, 12.0, 15.0, 18.0]]
+
+
+def test_grid_to_graph_to_assets(spark, tmp_path):
+    """A raster file to cells, channels, a graph on disk, a walk and ranked assets of WKT and GeoJSON."""
+    from scarpline.operators import hydrology as H
+    from scarpline.operators import raster as R
+
+    z = np.add.outer(np.arange(40) * -2.0, np.abs(np.arange(30) - 15) * 5.0).astype("f4") + 500
+    grid = [0.001, 0.0, 85.0, 0.0, -0.001, 28.0]
+    (tmp_path / "a.tif").write_bytes(geotiff.write_geotiff(z[None], grid, 4326))
+    raster = geotiff.read(spark, str(tmp_path)).withColumn("area", F.lit("a"))
+    dem, grids = R.cells(raster, "area"), raster.select("area", "transform", "width", "height")
+    assert dem.count() == 1200 and R.cells(raster, "area", 2).count() == 0
+    nodes, edges = H.drainage_graph(dem, grids, threshold=100)
+    files.write_graph(nodes, edges, str(tmp_path / "graph"))
+    nodes, edges = files.read_graph(spark, str(tmp_path / "graph"))
+    n = {r.node: r for r in nodes.collect()}
+    assert len(n) > 20 and {r.col for r in n.values()} == {15} and len(n) - 1 == edges.count()
+    first = min(n.values(), key=lambda r: r.row)
+    assert first.lon == pytest.approx(85.0155) and first.lat == pytest.approx(28.0 - 0.001 * (first.row + 0.5))
+    area = 0.001 * 111320 * np.cos(np.radians(27.98)) * 111.32 / 1e6
+    assert first.upstream_area_km2 == pytest.approx(first.accumulation * area)
+    s = H.graph_summary(nodes, edges).first()
+    assert (s.n_nodes, s.n_edges) == (len(n), len(n) - 1) and s.max_upstream_area_km2 == max(r.upstream_area_km2 for r in n.values())
+    tiff = geotiff.read_geotiff(bytes(H.channel_masks(nodes, grids).first().tiff))
+    assert tiff["bands"].sum() == len(n) and tiff["bands"][0, first.row, first.col] == 1
+    p = H.rows_and_cols(spark.createDataFrame([("in", "a", 27.9896, 85.0144), ("out", "a", 29.0, 85.0)], "k string, area string, lat double, lon double"), grids)
+    at = {r.k: r for r in p.collect()}
+    assert (at["in"].row, at["in"].col, at["in"].half, at["out"].row) == (10, 14, 4, None)
+    areas = spark.createDataFrame([("a", 300.0, [85.0, 27.9, 85.03, 28.0])], "name string, local_relief_fallback_m double, bbox array<double>")
+    t = {r.k: r for r in H.lookup_terrain(p, nodes, dem, areas, "k", "node", F.col("half")).collect()}
+    assert t["in"].local_relief_is_real and t["in"].local_relief_m == float(z[6:15, 10:19].max() - z[6:15, 10:19].min()) and t["out"].local_relief_m == 300.0
+    things = spark.createDataFrame([(1, "a", "Bridge", "bridge", "LINESTRING (85.0 27.975, 85.03 27.975)"), (2, "a", "Hut", "building", '{"type":"Polygon","coordinates":[[[85.02,27.97],[85.021,27.97],[85.021,27.971],[85.02,27.97]]]}'), (3, "a", "Far", "school", "POINT (86 28)"), (4, "a", "?", "school", "POINT EMPTY")], "asset_id int, area string, name string, asset_type string, geometry string")
+    from scarpline.operators import exposure as E
+
+    assert {r.asset_id for r in E.clipped(things, areas, "asset_id").collect()} == {1, 2}
+    spots = {r.asset_id: (round(r.lat, 4), round(r.lon, 4)) for r in E.representative_points(things, "asset_id").collect()}
+    assert spots[3] == (28.0, 86.0) and spots[2] == (27.9703, 85.0207) and set(spots) == {1, 2, 3}
+    zones = spark.createDataFrame([("a", "EPSG:32645")], "area string, crs string")
+    pieces = E.pieces(things, "asset_id", "crs", zones=zones)
+    assert pieces.count() == 1 + 3 + 1
+    scars = spark.createDataFrame([("s", first.node, "breach_risk", "EPSG:32645")], "scar_id string, node string, verdict string, utm_crs string")
+    got = {r.asset_id: r for r in propagate_exposure(scars, nodes, edges, pieces, things).collect()}
+    assert set(got) == {1, 2} and got[1].lateral_offset_km == 0.0 and 0.4 < got[2].lateral_offset_km < 0.5 and got[1].rank == 1
+
+
+def test_nearest_with_far_points(spark, monkeypatch):
+    from scarpline.operators import hydrology as H
+
+    monkeypatch.setattr(H, "SENT_NODES", 5)
+    rnd = random.Random(3)
+    nodes = [(k, rnd.choice("ab"), 28 + rnd.uniform(0, 0.2), 85 + rnd.uniform(0, 0.2)) for k in range(300)] + [(1000, "a", 40.0, 85.0)]
+    points = [(k, rnd.choice("abc"), 28 + rnd.uniform(-0.3, 0.5), 85 + rnd.uniform(-0.3, 0.5)) for k in range(60)] + [(900, "a", -60.0, -170.0), (901, "b", 60.0, 170.0), (902, "b", None, 1.0), (903, "a", 39.9, 85.2)]
+    n, p = spark.createDataFrame(nodes, "node int, area string, lat double, lon double"), spark.createDataFrame(points, "id int, area string, lat double, lon double")
+    d = lambda p, n: (p[2] - n[2]) ** 2 + (p[3] - n[3]) ** 2
+    for area in (None, "area"):
+        want = {p[0]: min((d(p, n), n[0]) for n in nodes if area is None or n[1] == p[1])[1] for p in points if p[2] is not None and (area is None or p[1] != "c")}
+        assert {r.id: r.node for r in H.nearest(p, n, "id", "node", area).collect()} == want
+
+
+def test_pools_samples_and_texts(spark):
+    from scarpline.functions.texts import literal_list, percent
+
+    a, b = spark.createDataFrame([(k, "t" if k % 3 else "v") for k in range(30)], "id int, s string"), spark.createDataFrame([(7,)], "id int")
+    u = Y.tagged_union({"x": a, "y": b})
+    assert {(r.pool, r["count"]) for r in u.groupBy("pool").count().collect()} == {("x", 30), ("y", 1)}
+    with pytest.raises(ValueError):
+        Y.tagged_union({})
+    one = [r.id for r in Y.sample_each(a, "id", "s", 4).collect()]
+    assert len(one) == 8 and sorted(one) == sorted(r.id for r in Y.sample_each(a.orderBy("id"), "id", "s", 4).collect()) and sorted(one) != sorted(r.id for r in Y.sample_each(a, "id", "s", 4, seed=1).collect())
+    m = spark.createDataFrame([("t", {"a": 1, "b": 2}), ("v", {}), ("w", None)], "split string, items map<string, int>")
+    assert {tuple(r) for r in Y.flattened(m).collect()} == {("t", "a"), ("t", "b")}
+    t = spark.createDataFrame([("(1, 2.5)",), ("[3,]",), ("[]",), ("os.remove(1)",), (None,)], "t string").select(literal_list("t").alias("v"))
+    assert [r.v for r in t.collect()] == [[1.0, 2.5], [3.0], [], None, None]
+    r = spark.range(1).select(percent(F.lit(1), F.lit(3)).alias("a"), percent(F.lit(0), F.lit(0)).alias("b")).first()
+    assert (r.a, r.b) == ("1/3 (33.3%)", "0/0 (0.0%)")
+    e = files.example_table(spark, [("c1", 28.1, 85.2, 22600, 1)], "chips/").first()
+    assert e.image_path == "chips/c1.tif"
+
+
+def test_skipped_detections(spark):
+    from scarpline.operators import scars as S
+
+    d = spark.createDataFrame([("a", [([(0.0, 0.0), (4.0, 0.0), (4.0, 3.0)],), ([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)],), ([(0.0, 0.0)],), (None,)]), ("b", []), ("c", None)], "stem string, detections array<struct<mask_polygon:array<struct<x:double,y:double>>>>")
+    assert {r.stem: r.n_skipped for r in S.skipped(d).collect()} == {"a": 3, "b": 0, "c": 0}
+
+
+def test_perceptual_hash_keeps_bytes():
+    from scarpline.operators.raster import _resized, perceptual_hash
+
+    flat = np.full((50, 40), 77.0)
+    assert (_resized(flat, 32) == 77).all() and _resized(flat, 32).shape == (32, 40)
+    rng = np.random.default_rng(1)
+    same = rng.integers(0, 256, (32, 32)).astype(float)
+    assert (_resized(same, 32) == same).all()  # nothing to resize, nothing changed
+    big = np.kron(same, np.ones((4, 4)))
+    bits = lambda a, b: bin((perceptual_hash(a) ^ perceptual_hash(b)) & (2**64 - 1)).count("1")
+    assert bits(same, big) <= 8 and bits(big, np.clip(big * 0.9 + 5, 0, 255)) <= 5 and perceptual_hash(np.zeros((0, 3))) is None
