@@ -6,7 +6,8 @@ Cyrillic capitals, box drawings and so on). In a word the maximum-scoring segmen
 Only inside them inverse mappings are tried: the characters back to bytes by a code page, the bytes to text by UTF-8 or by another code
 page, as often as it helps. A mapping holds if it leads to characters that the corpus knows and to pairs that are more probable by a
 margin. Words that are built as only damage builds them (suspect()) are left out of the counts, so that a source damaged as a whole does
-not vouch for itself.
+not vouch for itself. One letter for another is too little for that margin: there the corpus's words decide. A word is damaged, too, that
+a pair of code pages turns into one that stands in many more texts.
 
 Only characters of the code pages at hand can come from damage, so pairs of these (a fixed alphabet of some hundreds) are counted one by
 one, all of them; pairs with any other character are counted by the kinds of both and by the character.
@@ -15,6 +16,7 @@ one, all of them; pairs with any other character are counted by the kinds of bot
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from math import log2
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scarpline.llm.encode import some
+from scarpline.session import materialize
 
 #: Code pages by which UTF-8 gets misread, likeliest first, and pairs (read as, written in) of single-byte ones.
 MISREAD = ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "koi8-r", "iso8859-2", "cp1254", "iso8859-15", "cp866", "cp852", "iso8859-5", "mac_cyrillic", "cp1257", "cp1253")
@@ -46,10 +49,13 @@ GAIN_SURE = 3.0
 SUSPECT_SHARE = 4
 #: A character is known that stands in the corpus so often.
 KNOWN = 3
+#: A word tells of another by standing in so many texts, and in so many times as many; up to so many told words are sent to every task, more are joined.
+TEXTS, TIMES, SENT_WORDS = 5, 4, 100_000
 _SMOOTH = 30.0
 
 _WORD = re.compile(r"[^\x00-\x20]*[^\x00-\x7f][^\x00-\x20]*")
 _SOLID = re.compile("[^\x00-\x20\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]*[^\x00-\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff][^\x00-\x20\xa0\u1680\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]*")
+_AROUND = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201a\u201c\u201d\u201e\u2026"
 _SEQUENCE = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 
@@ -81,16 +87,25 @@ def kinds(points: np.ndarray) -> np.ndarray:
 _OF_KINDS, _OF_SECOND = 1 << 42, 2 << 42
 
 
-def pair_counts(documents: DataFrame, text: str = "text") -> DataFrame:
-    """(pair, n): how often two characters stand next to each other, over all texts but for suspect words. At most as many rows as the alphabet has pairs, kinds have pairs and Unicode has characters."""
+def corpus_counts(documents: DataFrame, text: str = "text") -> DataFrame:
+    """(pair, word, n) over all texts: how often two characters stand next to each other, but for suspect words (pair), and in how many texts a word outside ASCII stands (word).
+
+    There are at most as many rows of pairs as the alphabet has pairs, kinds have pairs and Unicode has characters.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, texts in some(b.column(0)):
                 pair, n = count_pairs([t for t in texts if t])
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
+                words = Counter(w for t in texts if t and not t.isascii() for w in {core(v) for v in _SOLID.findall(t)})
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(pair), pa.nulls(len(words), pa.int64())]), pa.concat_arrays([pa.nulls(len(pair), pa.string()), pa.array(list(words), pa.string())]), pa.array(np.r_[n, list(words.values())].astype(np.int64))], names=["pair", "word", "n"])
+
+    return documents.select(text).where(f"`{text}` is not null").mapInArrow(count, "pair long, word string, n long").groupBy("pair", "word").agg(F.sum("n").alias("n")).where("n > 0")
+
 
-    return documents.select(text).where(f"`{text}` is not null").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where("n > 0")
+def core(word: str) -> str:
+    """A word without the signs around it."""
+    return word.strip(_AROUND)
 
 
 def _coded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -488,11 +503,23 @@ class Mender:
         self.gains[w] = out
         return out
 
-    def text(self, t: str | None) -> tuple[str, int, bool] | None:
-        """(restored text, damaged words, whether all is restored) of a damaged text, else None."""
+    def readings(self, w: str) -> list[str]:
+        """What a word may have been, if one letter stands for another in it: what pairs of code pages make of it, in letters that the corpus knows."""
+        out = set()
+        if len(w) >= 3 and sum(c.isalpha() for c in w) >= 2:
+            n = breaks(w)
+            for pair in SWAPPED:
+                v = _inverse(w, pair)
+                if v and v != w and v not in out and all(c == d or (d.isalpha() and self.model.known(d)) for c, d in zip(w, v)) and breaks(v) <= n and not suspect(v) and not self.word(v)[1]:
+                    out.add(v)
+        return sorted(out)
+
+    def text(self, t: str | None, told: dict[str, str] | None = None) -> tuple[str, int, bool] | None:
+        """(restored text, damaged words, whether all is restored) of a damaged text, else None. told: words that are known to be damaged, and what they were."""
         if not t or t.isascii():
             return None
         mended: dict[str, str] = {}
+        by_words: dict[str, str] = {}
         whole = True
         rest: dict[str, list] = {}
         for w in set(_WORD.findall(t)):
@@ -502,6 +529,10 @@ class Mender:
                 whole &= complete
             else:
                 for v in _SOLID.findall(w):
+                    c = core(v)
+                    if told and c in told:
+                        by_words[v] = v.replace(c, told[c], 1)
+                        continue
                     s = self.swaps(v)
                     if s:
                         rest[v] = s
@@ -517,28 +548,72 @@ class Mender:
                     hit = None if w in mended else self._swap(w, pair)
                     if hit and hit[0] >= GAIN_SURE:
                         swapped[w] = hit[1]
+        swapped |= by_words
         if not mended and not swapped:
             return None
         one = lambda m: mended.get(m[0]) or (_SOLID.sub(lambda v: swapped.get(v[0], v[0]), m[0]) if swapped else m[0])
         return _WORD.sub(one, t), len(mended) + len(swapped), whole
 
 
+def told_words(vocabulary: DataFrame, pairs: np.ndarray, n: np.ndarray) -> DataFrame:
+    """(word, was) of the words of vocabulary (word, n) that stand for another one, which is in at least TEXTS texts and TIMES as many as the word; pairs and n as for PairModel."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mender = Mender(PairModel(pairs, n))
+        for b in batches:
+            at, out = [], []
+            for k, w in enumerate(b.column(0).to_pylist()):
+                v = mender.readings(w)
+                at += [k] * len(v)
+                out += v
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(out, pa.string())], names=["word", "n", "was"])
+
+    may = vocabulary.select("word", "n").mapInArrow(read, "word string, n long, was string")
+    often = vocabulary.where(F.col("n") >= TEXTS).select(F.col("word").alias("was"), F.col("n").alias("texts"))
+    best = may.join(often, "was").where(F.col("texts") >= TIMES * F.col("n")).groupBy("word").agg(F.max(F.struct("texts", "was")).alias("b"))
+    return best.select("word", F.col("b.was").alias("was"))
+
+
+def _with_told(documents: DataFrame, key: str, text: str, told: DataFrame) -> DataFrame:
+    """(key, text, told MAP) with each text's own told words; for more of them than go to every task."""
+    kind = documents.schema[key].dataType.simpleString()
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [sorted({core(v) for v in _SOLID.findall(t)}) if t and not t.isascii() else [] for t in b.column(1).to_pylist()]
+            at = pa.array([k for k, w in enumerate(own) for _ in w], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([x for w in own for x in w], pa.string())], names=[key, "word"])
+
+    each = documents.select(key, text).where(f"`{text}` is not null").mapInArrow(words, f"`{key}` {kind}, word string").distinct()
+    own = each.join(told, "word").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "was"))).alias("told"))  # at most a text's words
+    return documents.select(key, text).join(own, key, "left")
+
+
 def garbled(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, restored, words, complete) of each row whose text is damaged somewhere.
 
     restored is the text with what could be undone undone, words the number of its different damaged words, complete whether no
     character is lost. NULL, empty and plain ASCII texts are never damaged. Repeated texts are told for each key; texts may be of
-    any length. Pair counts cover all texts; their number is bounded by the alphabet of the code pages and by Unicode.
+    any length. Pair and word counts cover all texts; the pairs' number is bounded by the alphabet of the code pages and by Unicode.
     """
-    rows = pair_counts(documents, text).toArrow()  # bounded, see pair_counts
+    counts = materialize(corpus_counts(documents, text))
+    rows = counts.where("pair is not null").select("pair", "n").toArrow()  # bounded, see corpus_counts
     pairs, n = (rows.column(k).to_numpy() for k in (0, 1))
     kind = documents.schema[key].dataType.simpleString()
+    told = materialize(told_words(counts.where("word is not null").select("word", "n"), pairs, n))
+    if told.limit(SENT_WORDS + 1).count() <= SENT_WORDS:
+        sent = {r["word"]: r["was"] for r in told.collect()}  # at most SENT_WORDS rows
+        source = documents.select(key, text, F.lit(None).cast("map<string,string>").alias("told"))
+    else:
+        sent, source = {}, _with_told(documents, key, text, told)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mender = Mender(PairModel(pairs, n))
         for b in batches:
             for first, texts in some(b.column(1)):
-                found = [(first + k, m) for k, t in enumerate(texts) if (m := mender.text(t))]
+                own = b.column(2).slice(first, len(texts)).to_pylist()
+                found = [(first + k, m) for k, (t, w) in enumerate(zip(texts, own)) if (m := mender.text(t, dict(w) if w else sent))]
                 if found:
                     at = pa.array([k for k, _ in found], pa.int64())
                     yield pa.RecordBatch.from_arrays(
@@ -546,4 +621,4 @@ def garbled(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                         names=[key, "restored", "words", "complete"],
                     )
 
-    return documents.select(key, text).where(f"`{text}` is not null").mapInArrow(run, f"`{key}` {kind}, restored string, words int, complete boolean")
+    return source.where(f"`{text}` is not null").mapInArrow(run, f"`{key}` {kind}, restored string, words int, complete boolean")

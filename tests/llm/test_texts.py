@@ -109,6 +109,16 @@ def test_a_source_damaged_as_a_whole(clean, written, read):
     assert [t for t in CLEAN if m.text(t)] == []
 
 
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_single_words_by_the_words_of_the_corpus(spark, monkeypatch, sent):
+    monkeypatch.setattr(G, "SENT_WORDS", sent)
+    texts = [t for t in CLEAN for _ in range(40)]
+    bad = [("Přinesla ho, ale kdo", "Přinesla", "cp1250", "cp1252"), ("Der Fels dort ist rau, müsste täglich", "täglich", "cp1252", "cp850"), ("El agua, según dice", "según", "cp1252", "mac_roman"), ("(větší) most", "větší", "iso8859-2", "cp1252")]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(10_000 + k, t.replace(w, damaged(w, a, b))) for k, (t, w, a, b) in enumerate(bad)]
+    got = {r.doc_id: r.restored for r in G.garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {10_000 + k: t for k, (t, *_) in enumerate(bad)}
+
+
 def test_segments():
     assert G.segments([]) == [] and G.segments([-1, -2]) == []
     assert G.segments([4, -5, 3, -3, 1, 2, -2, 2, -2, 1, 5]) == [(0, 1), (2, 3), (4, 11)]
