@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 _own: str | None = None
 #: All tables of this process lie in one folder of this name.
 _RUN = uuid.uuid4().hex
-#: Tables written and not released yet, and the folders that are to go when the session's process ends.
-_alive: dict[str, None] = {}
+#: Tables written and not released yet with the thread that wrote them, and the folders that are to go when the session's process ends.
+_alive: dict[str, int] = {}
 _ending: set[str] = set()
 
 
@@ -65,7 +66,7 @@ def materialize(df: DataFrame) -> DataFrame:
     run = f"{shared_dir(spark)}/scarpline/{_RUN}"
     path = f"{run}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _alive[path] = None
+    _alive[path] = threading.get_ident()
     if run not in _ending:
         fs, p = _file_system(spark, run)
         fs.deleteOnExit(p)
@@ -77,7 +78,7 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
-        if _alive.pop(path, 0) is None:
+        if _alive.pop(path, None) is not None:
             fs, p = _file_system(spark, path)
             fs.delete(p, True)
 
@@ -92,7 +93,7 @@ def release(*tables: DataFrame) -> None:
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes, when it ends, every table written inside it but those given to what it yields; results that read the others must have been written by then."""
+    """Deletes, when it ends, every table that its thread wrote inside it but those given to what it yields; results that read the others must have been written by then."""
     before, kept = set(_alive), set()
 
     def keep(table: DataFrame) -> DataFrame:
@@ -102,7 +103,7 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     try:
         yield keep
     finally:
-        _delete(spark, [p for p in _alive if p not in before and p not in kept])
+        _delete(spark, [p for p, t in _alive.items() if t == threading.get_ident() and p not in before and p not in kept])
 
 
 def release_all(spark: SparkSession) -> None:
