@@ -96,8 +96,8 @@ def corpus_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for _, texts in some(b.column(0)):
-                pair, n = count_pairs([t for t in texts if t])
-                words = Counter(w for t in texts if t and not t.isascii() for w in {core(v) for v in _SOLID.findall(t)})
+                words: Counter[str] = Counter()
+                pair, n = count_pairs([t for t in texts if t], words)
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(pair), pa.nulls(len(words), pa.int64())]), pa.concat_arrays([pa.nulls(len(pair), pa.string()), pa.array(list(words), pa.string())]), pa.array(np.r_[n, list(words.values())].astype(np.int64))], names=["pair", "word", "n"])
 
     return documents.select(text).where(f"`{text}` is not null").mapInArrow(count, "pair long, word string, n long").groupBy("pair", "word").agg(F.sum("n").alias("n")).where("n > 0")
@@ -115,8 +115,8 @@ def _coded(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.r_[a[known] << 21 | b[known], _OF_KINDS | kinds(x) * 64 + kinds(y), _OF_SECOND | y], return_counts=True)
 
 
-def count_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, counts) of texts as one; a row may come twice, with a negative count for what suspect words take away."""
+def count_pairs(texts: list[str], seen: Counter[str] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, counts) of texts as one; a row may come twice, with a negative count for what suspect words take away. seen counts the texts of each word outside ASCII."""
     whole = "\n" + "\n".join(texts) + "\n"
     x = _points(whole)
     a, c = x[:-1], x[1:]
@@ -128,7 +128,10 @@ def count_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     spans, first = [], 1
     for t in texts:
         if not t.isascii():
-            words = [(first + m.start(), first + m.end(), suspect(m[0])) for m in _SOLID.finditer(t)]
+            found = list(_SOLID.finditer(t))
+            words = [(first + m.start(), first + m.end(), suspect(m[0])) for m in found]
+            if seen is not None:
+                seen.update({core(m[0]) for m in found})
             damaged = SUSPECT_SHARE * sum(w[2] for w in words) >= len(words)
             spans += [w[:2] for w in words if damaged or w[2]]
         first += len(t) + 1
@@ -510,7 +513,7 @@ class Mender:
             n = breaks(w)
             for pair in SWAPPED:
                 v = _inverse(w, pair)
-                if v and v != w and v not in out and all(c == d or (d.isalpha() and self.model.known(d)) for c, d in zip(w, v)) and breaks(v) <= n and not suspect(v) and not self.word(v)[1]:
+                if v and v != w and v not in out and all(c == d or (d.isalpha() and self.model.known(d)) for c, d in zip(w, v)) and breaks(v) <= n:
                     out.add(v)
         return sorted(out)
 
@@ -571,7 +574,14 @@ def told_words(vocabulary: DataFrame, pairs: np.ndarray, n: np.ndarray) -> DataF
 
     may = vocabulary.select("word", "n").mapInArrow(read, "word string, n long, was string")
     often = vocabulary.where(F.col("n") >= TEXTS).select(F.col("word").alias("was"), F.col("n").alias("texts"))
-    best = may.join(often, "was").where(F.col("texts") >= TIMES * F.col("n")).groupBy("word").agg(F.max(F.struct("texts", "was")).alias("b"))
+    def sound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Without readings that are damaged themselves."""
+        mender = Mender(PairModel(pairs, n))
+        for b in batches:
+            yield b.filter(pa.array([not suspect(v) and not mender.word(v)[1] for v in b.column(1).to_pylist()], pa.bool_()))
+
+    near = may.join(often, "was").where(F.col("texts") >= TIMES * F.col("n")).select("word", "was", "texts")
+    best = near.mapInArrow(sound, "word string, was string, texts long").groupBy("word").agg(F.max(F.struct("texts", "was")).alias("b"))
     return best.select("word", F.col("b.was").alias("was"))
 
 
