@@ -162,7 +162,7 @@ def members(copies: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def spread_pairs(pairs: DataFrame, copies: DataFrame) -> DataFrame:
-    """pairs (a, b, ...) of firsts as pairs of all members of their classes; a row stays what it was but for its ends, which may change places."""
+    """pairs (a, b, ...) of firsts as pairs of all members of their classes; the other columns stay."""
     if copies.isEmpty():
         return pairs
     m = members(copies, pairs.select(F.col("a").alias("first")).unionByName(pairs.select(F.col("b").alias("first"))))

@@ -30,12 +30,12 @@ def _in_splits(items: DataFrame) -> DataFrame:
 
 
 def name_overlaps(items: DataFrame) -> DataFrame:
-    """(a, b, shared, total): one item in train, the other in validation or test, and near names; counted in words. Items of one side with equal words are joined as one."""
+    """(a, b, shared, total, size_a, size_b): one item in train, the other in validation or test, and near names; counted in words. Items of one side with equal words are joined as one."""
     r = _in_splits(items)
     with scope(items.sparkSession) as keep:
         records, copies = classed(sequences(r, "item_id", ITEM_TEXTS, ("training",)), "item_id", ("training",))
         found, copies = keep(materialize(exact(candidates(records, "training"), r, "item_id", ITEM_TEXTS))), keep(copies)
-    return spread_pairs(found.select("a", "b", "shared", "total"), copies)
+    return spread_pairs(found, copies)
 
 
 def image_overlaps(items: DataFrame) -> DataFrame:
