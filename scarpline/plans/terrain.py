@@ -390,7 +390,7 @@ SELECT "case", CASE WHEN sure >= 0.25 THEN 0.25::DOUBLE WHEN sure >= 0.05 THEN 0
 CASE WHEN sure < 0.25 THEN NULL WHEN dbi < 2.75 THEN 'stable' WHEN dbi <= 3.08 THEN 'uncertain' ELSE 'breach_risk' END AS verdict, flooded::INT AS n_floods, CASE WHEN sure >= 0.25 AND flooded THEN round(1.0::DOUBLE / 3, 6) END AS iou FROM j""",
     "downstream_walk": f"{_WALK} SELECT start, seq, node, dist AS dist_m FROM way",
     "downstream_clip": f"""{_WALK}, here AS (SELECT w.*, n.lat, n.lon, lag(dist) OVER k AS d0, lag(n.lat) OVER k AS lat0, lag(n.lon) OVER k AS lon0 FROM way w JOIN nodes n USING (node) WINDOW k AS (PARTITION BY start ORDER BY seq))
-SELECT start, seq, CASE WHEN dist <= 250 THEN node END AS node, round(CASE WHEN dist <= 250 THEN lat ELSE lat0 + (250 - d0) / (dist - d0) * (lat - lat0) END, 6) AS lat, round(CASE WHEN dist <= 250 THEN lon ELSE lon0 + (250 - d0) / (dist - d0) * (lon - lon0) END, 6) AS lon,
+SELECT start, seq, CASE WHEN dist <= 250 THEN node END AS node, round((CASE WHEN dist <= 250 THEN lat ELSE lat0 + (250 - d0) / (dist - d0) * (lat - lat0) END)::VARCHAR::DECIMAL(30, 20), 6)::DOUBLE AS lat, round((CASE WHEN dist <= 250 THEN lon ELSE lon0 + (250 - d0) / (dist - d0) * (lon - lon0) END)::VARCHAR::DECIMAL(30, 20), 6)::DOUBLE AS lon,
 round(CASE WHEN dist <= 250 THEN dist / 1000 ELSE 0.25 END, 6) AS distance_km FROM here WHERE d0 IS NULL OR d0 < 250""",
     "dag_check": f"{_WALK} SELECT count(*) AS edges, (SELECT max(seq) FROM way) <= count(*) AS acyclic FROM edges",
     "nearest_channel": f"WITH {_NEAREST} SELECT lookup_id, node FROM near",
